@@ -15,6 +15,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "kept")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mixture
 
@@ -31,6 +37,12 @@ def op8_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, path)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.pii import find_spans, span_digests
+
+    return span_digests(find_spans(table(spark, sf_dir, "documents")))
+
+
 def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,8 +54,10 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
+        "op4_langid": op4_langid,
         "op7_mixing": op7_mixing,
         "op8_tokenfiles": op8_tokenfiles,
+        "op9_pii": op9_pii,
         "op10_tokencounts": op10_tokencounts,
     }
 
