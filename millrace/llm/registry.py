@@ -21,6 +21,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.vectors import vector_groups
+
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mixture
 
@@ -55,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_simhash": op3_simhash,
         "op4_langid": op4_langid,
+        "op6_vectors": op6_vectors,
         "op7_mixing": op7_mixing,
         "op8_tokenfiles": op8_tokenfiles,
         "op9_pii": op9_pii,
