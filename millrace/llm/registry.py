@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.shared import scratch_path, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.decontamination import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "start_word", "end_word", "seeds")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import simhash_groups
 
@@ -59,6 +66,7 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_simhash": op3_simhash,
         "op4_langid": op4_langid,
         "op6_vectors": op6_vectors,
