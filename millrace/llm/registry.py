@@ -16,6 +16,16 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", "start_word", "end_word", "seeds")
 
 
+#: The table labels one kind of toxicity; its quality label is the chain's first link.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), CATEGORIES)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.simhash import simhash_groups
 
@@ -28,6 +38,12 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licenses import license_spans
+
+    return license_spans(table(spark, sf_dir, "documents"))
+
+
 def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.vectors import vector_groups
 
@@ -67,8 +83,10 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_toxicity": op2_toxicity,
         "op3_simhash": op3_simhash,
         "op4_langid": op4_langid,
+        "op5_licenses": op5_licenses,
         "op6_vectors": op6_vectors,
         "op7_mixing": op7_mixing,
         "op8_tokenfiles": op8_tokenfiles,
