@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import dot, exact_sum, naive
+from millrace.operators import as_of_join, range_join, sessions, top_per_group
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -43,10 +46,247 @@ SELECT l_returnflag, l_linestatus,
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus
 """)
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")  # noqa: E731  exact in any order of rows
+    money = lambda c: exact_sum(F.col(c))
     return (
         _t(spark, sf_dir, "lineitem")
         .where("l_shipdate <= timestamp_ntz '1998-09-02'")
         .groupBy("l_returnflag", "l_linestatus")
         .agg(money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_base_price"), F.count("*").alias("count_order"))
     )
+
+
+@query("SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_quantity > 10")
+def scan_filter_project(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").where("l_shipdate < timestamp_ntz '1996-01-01' AND l_quantity > 10").select("l_orderkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+
+
+@query("""
+SELECT c_mktsegment, n_name, CAST(count(*) AS BIGINT) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2
+""")
+def inner_joins(spark, sf_dir):
+    o, c, n = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation"))
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return joined.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), exact_sum(F.col("o_totalprice")).alias("revenue"))
+
+
+@query("SELECT o_orderkey, l_linenumber, l_partkey FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_quantity > 45")
+def left_join(spark, sf_dir):
+    o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").where("l_quantity > 45")  # noqa: E741
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left").select("o_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""
+SELECT a.s_suppkey AS rich, b.s_suppkey AS poor FROM (SELECT * FROM supplier WHERE s_acctbal > 5000) a
+FULL JOIN (SELECT * FROM supplier WHERE s_acctbal < 8000) b ON a.s_suppkey = b.s_suppkey
+""")
+def full_join(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier")
+    a, b = s.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("rich")), s.where("s_acctbal < 8000").select(F.col("s_suppkey").alias("poor"))
+    return a.join(b, F.col("rich") == F.col("poor"), "full")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def semi_join(spark, sf_dir):
+    o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")  # noqa: E741
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left_semi").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_join(spark, sf_dir):
+    o, l = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "lineitem")  # noqa: E741
+    return o.join(l, o.o_orderkey == l.l_orderkey, "left_anti").select("o_orderkey")
+
+
+@query("""
+SELECT p_partkey, r.lo FROM part JOIN (SELECT 900.0 + 10 * i AS lo, 904.0 + 10 * i AS hi FROM range(10) t(i)) r
+ON p_retailprice >= r.lo AND p_retailprice < r.hi
+""")
+def interval_join(spark, sf_dir):
+    ranges = spark.range(10).select((F.lit(900.0) + F.col("id") * 10).alias("lo"), (F.lit(904.0) + F.col("id") * 10).alias("hi"))
+    return range_join(_t(spark, sf_dir, "part"), ranges, "p_retailprice", "lo", "hi", 10.0).select("p_partkey", "lo")
+
+
+@query("""
+SELECT p.event_id, max_by(v.event_id, (v.ts, v.event_id)) AS last_event_id, max(v.ts) AS last_ts
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND v.ts <= p.ts GROUP BY 1
+""")
+def as_of(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.struct("ts", "event_id").alias("seen"))
+    return as_of_join(buys, views, "user_id", "ts", ["seen"]).select("event_id", F.col("last_seen.event_id").alias("last_event_id"), F.col("last_seen.ts").alias("last_ts"))
+
+
+@query("""
+SELECT c_custkey, (SELECT max(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS largest FROM customer
+WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)
+""")
+def subqueries(spark, sf_dir):
+    c, o, n = (_t(spark, sf_dir, x) for x in ("customer", "orders", "nation"))
+    largest = o.groupBy("o_custkey").agg(F.max("o_totalprice").alias("largest"))
+    return c.join(n.where("n_regionkey = 1"), c.c_nationkey == n.n_nationkey, "left_semi").join(largest, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "largest")
+
+
+def _grouped(kind: str) -> str:
+    return f"""SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) + 2 * grouping(l_linestatus) AS INTEGER) AS level,
+    CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY {kind}"""
+
+
+def _levels(df):
+    return df.agg((F.grouping("l_returnflag") + 2 * F.grouping("l_linestatus")).cast("int").alias("level"), F.count("*").alias("n"))
+
+
+@query(_grouped("ROLLUP (l_returnflag, l_linestatus)"))
+def rollup(spark, sf_dir):
+    return _levels(_t(spark, sf_dir, "lineitem").rollup("l_returnflag", "l_linestatus"))
+
+
+@query(_grouped("CUBE (l_returnflag, l_linestatus)"))
+def cube(spark, sf_dir):
+    return _levels(_t(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus"))
+
+
+@query(_grouped("GROUPING SETS ((l_returnflag), (l_linestatus), ())"))
+def grouping_sets(spark, sf_dir):
+    l = _t(spark, sf_dir, "lineitem")  # noqa: E741
+    return _levels(l.groupingSets([[F.col("l_returnflag")], [F.col("l_linestatus")], []], F.col("l_returnflag"), F.col("l_linestatus")))
+
+
+@query("""
+SELECT l_shipdate AS day, CAST(count(DISTINCT l_partkey) AS BIGINT) AS parts, CAST(count(*) FILTER (WHERE l_quantity > 25) AS BIGINT) AS large
+FROM lineitem GROUP BY 1
+""")
+def distinct_and_filtered(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").alias("day")).agg(F.count_distinct("l_partkey").alias("parts"), F.count_if(F.col("l_quantity") > 25).alias("large"))
+
+
+@query("""
+SELECT p_brand, round(stddev_samp(p_size), 9) AS sd, round(var_pop(p_size), 9) AS var, median(p_size) AS mid,
+quantile_cont(p_retailprice, 0.9) AS p90 FROM part GROUP BY 1
+""")
+def statistics(spark, sf_dir):
+    return _t(spark, sf_dir, "part").groupBy("p_brand").agg(
+        F.round(F.stddev_samp("p_size"), 9).alias("sd"), F.round(F.var_pop("p_size"), 9).alias("var"), F.median("p_size").alias("mid"), F.percentile("p_retailprice", F.lit(0.9)).alias("p90")
+    )
+
+
+@query("""
+SELECT o_orderpriority, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS top_order,
+CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS "F", CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS "O" FROM orders GROUP BY 1
+""")
+def arg_max_and_pivot(spark, sf_dir):
+    g = _t(spark, sf_dir, "orders").groupBy("o_orderpriority")
+    top = g.agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top_order"))
+    return top.join(g.pivot("o_orderstatus", ["F", "O"]).count().na.fill(0), "o_orderpriority")
+
+
+@query("""
+SELECT o_orderkey, CAST(row_number() OVER w AS INTEGER) AS rn, CAST(rank() OVER d AS INTEGER) AS rk, CAST(dense_rank() OVER d AS INTEGER) AS dr,
+CAST(ntile(4) OVER w AS INTEGER) AS quarter, percent_rank() OVER d AS pr, cume_dist() OVER d AS cd FROM orders
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), d AS (PARTITION BY o_custkey ORDER BY o_orderpriority)
+""")
+def ranking(spark, sf_dir):
+    w, d = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"), Window.partitionBy("o_custkey").orderBy("o_orderpriority")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(d).alias("rk"), F.dense_rank().over(d).alias("dr"), F.ntile(4).over(w).alias("quarter"), F.percent_rank().over(d).alias("pr"), F.cume_dist().over(d).alias("cd"))
+
+
+@query("""
+SELECT event_id, lag(value, 1, 0.0) OVER w AS before, lead(event_id) OVER w AS next_id, first_value(event_type) OVER w AS first_type,
+CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS last3,
+CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS day_n
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""")
+def offsets_and_frames(spark, sf_dir):
+    _t(spark, sf_dir, "events").createOrReplaceTempView("millrace_events")
+    return spark.sql("""
+        SELECT event_id, lag(value, 1, 0.0D) OVER w AS before, lead(event_id) OVER w AS next_id, first_value(event_type) OVER w AS first_type,
+        count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3,
+        count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_n
+        FROM millrace_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
+def top_k(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").offset(5).limit(20)
+
+
+@query("""
+SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2
+""")
+def top_per_customer(spark, sf_dir):
+    return top_per_group(_t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
+
+
+@query("""
+(SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier)
+UNION ALL (SELECT c_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier)
+UNION ALL (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)
+""")
+def set_operations(spark, sf_dir):
+    c, s = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    return c.intersectAll(s).union(c.exceptAll(s)).union(c.union(s).distinct())
+
+
+@query("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+def recursive(spark, sf_dir):
+    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+
+
+@query("""
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, date_trunc('hour', ts) AS hour, CAST(dayofweek(ts) AS INTEGER) AS dow,
+CAST(quarter(ts) AS INTEGER) AS quarter, CAST(week(ts) AS INTEGER) AS week FROM events
+""")
+def json_and_dates(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), naive(F.date_trunc("hour", "ts")).alias("hour"), (F.dayofweek("ts") - 1).alias("dow"), F.quarter("ts").alias("quarter"), F.weekofyear("ts").alias("week"))
+
+
+@query(r"""
+SELECT doc_id, lower(substring(text, 1, 40)) AS head, md5(text) AS digest, CAST(length(text) AS INTEGER) AS n, reverse(source) AS back, lpad(source, 8, '*') AS padded,
+regexp_replace(substring(text, 1, 200), '[aeiou]+', '_', 'g') AS masked, CAST(instr(text, 'the') AS INTEGER) AS at FROM documents
+""")
+def string_functions(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select(
+        "doc_id", F.lower(F.substring("text", 1, 40)).alias("head"), F.md5("text").alias("digest"), F.length("text").alias("n"), F.reverse("source").alias("back"), F.lpad("source", 8, "*").alias("padded"),
+        F.regexp_replace(F.substring("text", 1, 200), "[aeiou]+", "_").alias("masked"), F.instr("text", "the").alias("at"),
+    )
+
+
+@query("SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS statuses, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+def ordered_strings(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus")))
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(rows, lambda r: r["o_orderstatus"]), ",").alias("statuses"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT label, round(avg(list_sum(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS DOUBLE) * CAST(embedding[i] AS DOUBLE)))), 9) AS norm2,
+CAST(count(*) AS BIGINT) AS n FROM embeddings GROUP BY 1
+""")
+def vectors(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.avg(dot(F.col("embedding"), F.col("embedding"))), 9).alias("norm2"), F.count("*").alias("n"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM events GROUP BY 1, 2
+""")
+def tumbling_windows(spark, sf_dir):
+    w = _t(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), exact_sum(F.col("value")).alias("total"))
+    return w.select(naive(F.col("w.start")).alias("start"), "event_type", "n", "total")
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k
+""")
+def session_windows(spark, sf_dir):
+    return sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
+
+
+@query()
+def approximate_distinct(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))
