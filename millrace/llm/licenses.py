@@ -71,7 +71,9 @@ def banded(template: np.ndarray, text: np.ndarray, low: int, high: int, match: i
         row = np.maximum.accumulate(t + step) - step
         row[~inside] = 0
         h[i + 1, :width] = row
-    i, b = np.unravel_index(int(h.argmax()), h.shape)
+    i, b = map(int, np.unravel_index(int(h.argmax()), h.shape))
+    if not h[i, b]:
+        return 0, 0, 0, 0
     score, matched, end = int(h[i, b]), 0, int(i + low + b)
     start = end
     while i > 0 and h[i, b] > 0:

@@ -1,0 +1,104 @@
+from __future__ import annotations
+
+import io
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from millrace.llm.encoding import Encoder, tokenizer_version
+from millrace.llm.shared import scratch_path
+from millrace.llm.tokencounts import cached_counts, token_counts
+from millrace.llm.tokenfiles import ShardReader, read_token_files, token_file_digests, write_token_files
+
+WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
+POOL = ["a", "B", " ", "  ", "\n", "\t", "é", "É", "İ", "Σ", "ς", "ß", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "1", "23", "_", "-", "...", "é", "́", "\x1c", "\x85", "\xa0", " ", "中", "ﬁ", "​", "²", "½", "ª", "µ", "\x00", "😀", "ǅ", "the", "tion", ","]
+
+
+@pytest.mark.parametrize("file", [WORDS, BYTES])
+def test_encoder_gives_the_librarys_ids(file):
+    rng = random.Random(3)
+    content = open(file).read()
+    own, library = Encoder(content, memo=40), Tokenizer.from_str(content)
+    for _ in range(8000):
+        text = "".join(rng.choice(POOL) for _ in range(rng.randint(0, 9)))
+        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("file", [WORDS, BYTES])
+def test_encoder_on_documents(spark, file):
+    content = open(file).read()
+    own, library = Encoder(content), Tokenizer.from_str(content)
+    assert own.kind != "whole"
+    for (text,) in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
+        assert np.frombuffer(own(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+ROWS = [(7, "Hello there, world"), (3, None), (5, ""), (3, "twice"), (3, "twice"), (None, "no id"), (-4, "é " * 30_000), (2**40, "x")]
+
+
+def test_files_round_trip(docs, clash, spark):
+    path = scratch_path(spark, "test-files")
+    write_token_files(clash(docs(ROWS)), path, WORDS, shard_docs=3)
+    library = Tokenizer.from_file(WORDS)
+    want = {(i, tuple([*library.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in ROWS}
+    got = read_token_files(spark, path).collect()
+    assert len(got) == len(ROWS) and {(r.doc_id, tuple(r.tokens)) for r in got} == want
+    assert sorted(r.doc_id for r in read_token_files(spark, path, [3, 7, 99]).collect()) == [3, 3, 3, 7]
+    digests = sorted(token_file_digests(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in digests] == sorted((i for i, _ in ROWS), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in digests:
+        assert r.start == at
+        at += r.n_tokens
+    assert {(r.doc_id, r.ids_crc32) for r in digests} == {(i, zlib.crc32(np.array(t, "<u4").tobytes())) for i, t in want}
+
+
+def test_a_reader_decompresses_only_what_is_asked_for_and_sees_damage(docs, spark):
+    import zstandard
+
+    path = scratch_path(spark, "test-files")
+    write_token_files(docs([(i, f"number {i} " * 40) for i in range(50)]).coalesce(1), path, WORDS)
+    content = bytes(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).first().content)
+    shard = ShardReader(io.BytesIO(content))
+    tokens = shard.tokens(1)
+    assert tokens[-1] == 2 and tokens.dtype == np.dtype("<u4")
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True).readall()  # any tool can
+    assert whole == b"".join(shard.raw(n) for n in range(len(shard.ids)))
+    harmed = bytearray(content)
+    start, end = int(shard.offsets[2]), int(shard.offsets[3])
+    harmed[end - 1] ^= 1  # document 1's frame, its checksum
+    broken = ShardReader(bytes(harmed))
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        broken.raw(1)
+    assert (broken.raw(0), broken.raw(2)) == (shard.raw(0), shard.raw(2)) and start < end
+    with pytest.raises(ValueError):
+        ShardReader(content[:-1])
+
+
+def test_no_documents_no_rows(docs, spark):
+    path = scratch_path(spark, "test-files")
+    write_token_files(docs([]), path, WORDS)
+    assert token_file_digests(spark, path).count() == 0
+
+
+def test_counts_and_cache(docs, clash, spark):
+    path = scratch_path(spark, "test-cache")
+    library = Tokenizer.from_file(BYTES)
+    rows = [*ROWS, (8, "a <|endoftext|> b"), (9, "Hello there, world"), (10, "w " * 600)]
+    got = token_counts(clash(docs(rows)), BYTES, path).collect()
+    want = sorted((str(i), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
+    assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+    version = tokenizer_version(open(BYTES).read())
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in rows})  # copies once
+    # a second call encodes what is new, and trusts what is stored
+    spark.read.parquet(path).where("false").count()
+    token_counts(docs([(1, "Hello there, world"), (2, "something new")]), BYTES, path)
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in rows}) + 1
+    assert cached_counts(spark, path, version).count() == spark.read.parquet(path).count()
+    assert cached_counts(spark, path, "another version").count() == 0
+    assert token_counts(docs([]), BYTES, scratch_path(spark, "test-cache")).count() == 0

@@ -1,0 +1,92 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+
+from millrace.llm.vectors import MultiIndex, vector_groups
+
+
+def brute(rows, threshold=0.95):
+    """rows: (id, vector or None). Links, smallest id reachable."""
+    good = [v is not None and all(x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v) for _, v in rows]
+    unit = [np.array(v, dtype=np.float32).astype(float) / np.linalg.norm(np.array(v, dtype=np.float32).astype(float)) if g else None for (_, v), g in zip(rows, good)]
+    n, parent = len(rows), list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    links = [0] * n
+    for i in range(n):
+        for j in range(n):
+            if i != j and good[i] and good[j] and unit[i] @ unit[j] >= threshold:
+                links[i] += 1
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    least = {}
+    for i in range(n):
+        least.setdefault(find(i), []).append(rows[i][0])
+    return [(rows[i][0], links[i], min((x for x in least[find(i)] if x is not None), default=None)) for i in range(n)]
+
+
+def make(seed, n, groups, dim=16, spread=0.12):
+    rng = np.random.default_rng(seed)
+    v = [rng.normal(size=dim) for _ in range(n)]
+    for size in groups:
+        centre = rng.normal(size=dim)
+        centre /= np.linalg.norm(centre)
+        v += [centre + spread * rng.normal(size=dim) / np.sqrt(dim) for _ in range(size)]
+    return [(i, [float(np.float32(y)) for y in x]) for i, x in enumerate(v)]
+
+
+@pytest.mark.parametrize("block", [2048, 8])
+def test_agrees_with_brute_force(spark, block):
+    """A dense group, pairs, exact copies; with small blocks every cell is split."""
+    rows = make(1, 250, [60, 2, 3, 5])
+    rows += [(1000 + i, rows[3][1]) for i in range(5)] + [(2000, [2 * x for x in rows[4][1]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_groups(df, block=block).collect())
+    want = sorted(brute(rows))
+    assert sum(g[1] for g in got) >= 0.98 * sum(w[1] for w in want)
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(want)
+
+
+def test_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    near = make(7, 0, [4, 9, 30], dim=64, spread=0.2)
+    rows += [(10_000 + i, v) for i, v in near]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    want = sorted(brute(rows))
+    assert sum(w[1] for w in want) > 100
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want)
+
+
+def test_odd_vectors(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [1.0, nan]), (6, [1.0, inf]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [1.0, 0.0]), (8, [1.0]), (9, [0.0, 1.0]), (10, [3e38, 3e38]), (11, [1e-42, 1e-42])]
+    got = vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    by = {r.vec_id: r for r in got}
+    assert len(got) == len(rows) and all(by[i].n_links == 0 and by[i].component_id == i and by[i].kept for i in (1, 2, 3, 4, 5, 6, 9))
+    assert by[7].n_links == 3 and by[8].n_links == 3 and by[8].component_id == 7 and not by[8].kept  # read as (1, 0)
+    assert by[None].component_id == 7 and not by[None].kept and by[10].n_links == by[11].n_links == 1
+
+
+def test_clashing_columns_and_empty(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.1], "x", "y"), (2, [1.0, 0.1], "x", "y")], "vec_id long, embedding array<float>, cid string, root string")
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in vector_groups(df).orderBy("vec_id").collect()] == [(1, 1, 1, True), (2, 1, 1, False)]
+    assert vector_groups(df.limit(0)).count() == 0
+
+
+def test_traversal_goes_by_distance():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    index = MultiIndex(v, 8, 0.95, 0.98)
+    a, b = index.halves(v[:40])
+    for x, y in zip(a, b):
+        cells = index.visits(x, y)
+        sums = (x[:, None] + y[None, :]).ravel()
+        want = [int(c) for c in np.argsort(sums, kind="stable") if sums[c] <= sums.min() + index.slack]
+        assert set(cells) == set(want) and np.all(np.diff(sums[cells]) >= 0)
