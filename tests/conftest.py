@@ -14,7 +14,7 @@ def spark(tmp_path_factory):
 
     s = session(
         "tests",
-        "local[4]",
+        "local[3]",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="3g",
         spark__ui__showConsoleProgress="false",
