@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+import importlib
+import sys
+
+import pytest
+
+import __spark_entry__
+from millrace.plans import catalog
+
+
+def test_catalog_is_always_there(spark):
+    assert set(catalog.queries()) <= set(__spark_entry__.queries())
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).count() > 0
+
+
+class Blocked:
+    """Makes imports of some modules fail, as if they weren't there or were broken."""
+
+    def __init__(self, prefixes, error):
+        self.prefixes, self.error = prefixes, error
+
+    def find_spec(self, name, path=None, target=None):
+        if any(name == p or name.startswith(f"{p}.") for p in self.prefixes):
+            raise self.error(name)
+
+
+@pytest.fixture
+def blocked(monkeypatch):
+    def block(prefixes, error):
+        for name in [n for n in sys.modules if any(n == p or n.startswith(f"{p}.") for p in prefixes)]:
+            monkeypatch.delitem(sys.modules, name)
+        monkeypatch.setattr(sys, "meta_path", [Blocked(prefixes, error), *sys.meta_path])
+        importlib.invalidate_caches()
+
+    return block
+
+
+def test_without_the_corpus_operators(blocked):
+    blocked(["corpus_pipeline", "millrace.llm"], lambda name: ModuleNotFoundError(name, name=name))
+    assert set(__spark_entry__.queries()) == set(catalog.queries())
+    assert set(__spark_entry__.oracle_sql()) == set(catalog.oracle_sql())
+
+
+def test_another_missing_module_is_an_error(blocked):
+    blocked(["millrace.llm.registry"], lambda name: ModuleNotFoundError("no such library", name="some_library"))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
