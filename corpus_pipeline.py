@@ -49,7 +49,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows whose text holds a copy of a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.explode("text_hashes").alias("bad")).distinct()
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("text_hash").alias("bad")).distinct()
     return docs.join(found, F.xxhash64("text") == F.col("bad"), "left_anti").select(*docs.columns)
 
 

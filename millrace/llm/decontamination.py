@@ -100,9 +100,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     ends exclusive; of several copies of an item the best counts, then the
     first. Null, empty and wordless texts hold nothing, and such items are
     held by none. Items of equal id are told apart by their texts until the
-    end. Repeated rows give one result row; documents with a null id are
-    reported under null, with their text_hash. Other columns are ignored;
-    empty tables give an empty result.
+    end. Repeated rows give one result row; rows of equal id, null too, are
+    told apart by their text_hash. Other columns are ignored; empty tables
+    give an empty result.
     """
     sc = docs.sparkSession.sparkContext
     own = stored(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_words(n), "item_id long, item array<long>, grams array<long>").where(F.size("item") > 0).distinct(), "items")
@@ -120,5 +120,5 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     pairs = hits.groupBy("doc_id", "text_hash", "at", "item_id", "item").agg(F.count("*").alias("seeds"), F.first("words").alias("words"))
     schema = "doc_id long, text_hash long, at long, item_id long, seeds long, score double, start_word long, end_word long"
     found = pairs.mapInArrow(_aligned(threshold), schema).withColumns({c: F.col(c) + F.col("at") for c in ("start_word", "end_word")})
-    best = F.max_by(F.struct("score", "start_word", "end_word", "seeds", "text_hash"), F.struct("score", -F.col("start_word"))).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(best, F.collect_set("text_hash").alias("text_hashes")).select("doc_id", "item_id", "best.*", "text_hashes")
+    best = F.max_by(F.struct("score", "start_word", "end_word", "seeds"), F.struct("score", -F.col("start_word"))).alias("best")
+    return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "item_id", "best.*", "text_hash")
