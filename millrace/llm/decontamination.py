@@ -4,8 +4,8 @@ Three scans, none of which shuffles a text:
 1. the items' word n-grams go into a bitmap of bounded size, and every
    document's n-grams that pass it are counted by document, summed map-side:
    document frequencies over the whole corpus;
-2. an item's seeds are its rare n-grams: those no more frequent than the
-   item's RARE quantile (so that an item leaked into very many documents
+2. an item's seeds are its rare n-grams: those at most twice as frequent as
+   the item's RARE quantile (so that an item leaked into very many documents
    keeps seeds too) or found in at most FEW documents. Documents are scanned
    for seeds, and the words around them come out as hash windows, with the
    seeds, which then join the items exactly;
@@ -25,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
-from millrace.llm.wordhash import aligned_spans, bitmap, gram_hashes, word_hashes, words_of
+from millrace.llm.wordhash import aligned_spans, bitmap, gram_hashes, text_hashes
 
-N, RARE, FEW, THRESHOLD = 3, 0.75, 16, 0.5
+N, RARE, FEW, THRESHOLD = 3, 0.5, 16, 0.5
 MATCH = 2
 
 
 def _item_words(n: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [word_hashes(words_of(t.as_py())) for t in batch.column(1)]
+            words = text_hashes(batch.column(1).to_pylist())
             longs = lambda rows: pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), longs(words), longs([np.unique(gram_hashes(w, n)) for w in words])], names=["item_id", "item", "grams"])
 
@@ -45,8 +45,8 @@ def _frequencies(seen, n: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[int] = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                grams = gram_hashes(word_hashes(words_of(text.as_py())), n)
+            for words in text_hashes(batch.column(0).to_pylist()):
+                grams = gram_hashes(words, n)
                 hit = grams[seen.value.holds(grams)]
                 if len(hit):
                     total.update(np.unique(hit).view(np.int64).tolist())
@@ -62,8 +62,7 @@ def _windows(seen, n: int, reach: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for row, text in enumerate(batch.column(2)):
-                words = word_hashes(words_of(text.as_py()))
+            for row, words in enumerate(text_hashes(batch.column(2).to_pylist())):
                 grams = gram_hashes(words, n)
                 places = np.flatnonzero(seen.value.holds(grams))
                 if not len(places):
@@ -113,7 +112,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     counts = texts.select("text").mapInArrow(_frequencies(all_seen, n), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
     counted = stored(grams.join(counts, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0))), "gram-counts")
     limits = counted.groupBy("item_id", "item").agg(F.percentile_approx("docs", rare, 10_000).alias("limit"))
-    seeds = stored(counted.join(limits, ["item_id", "item"]).where((F.col("docs") <= F.col("limit")) | (F.col("docs") <= few)).select("gram", "item_id", "item"), "seeds")
+    seeds = stored(counted.join(limits, ["item_id", "item"]).where((F.col("docs") <= 2 * F.col("limit")) | (F.col("docs") <= few)).select("gram", "item_id", "item"), "seeds")
     rare_seen = sc.broadcast(bitmap(seeds.select("gram").distinct(), "gram"))  # 32 MB at most
     windows = stored(texts.mapInArrow(_windows(rare_seen, n, reach), "doc_id long, text_hash long, at long, words array<long>, grams array<long>"), "windows")
     hits = windows.select("doc_id", "text_hash", "at", "words", F.explode("grams").alias("gram")).join(seeds, "gram")

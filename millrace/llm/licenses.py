@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.wordhash import gram_hashes, word_hashes
+from millrace.llm.wordhash import gram_hashes, text_hashes
 
 K, W, BAND, COVERAGE = 3, 3, 6, 0.8
 #: Words of all templates together, at most; the index then stays within a few MB.
@@ -94,7 +94,7 @@ class Index:
 
     def __init__(self, templates: Mapping[str, str]):
         self.names = sorted(n for n, t in templates.items() if t and _WORD.search(t))
-        self.words = [word_hashes(_WORD.findall(templates[n].lower())) for n in self.names]
+        self.words = text_hashes([templates[n] for n in self.names])
         if sum(map(len, self.words)) > MOST_WORDS:
             raise ValueError(f"templates of over {MOST_WORDS} words; scan with parts of them")
         found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -105,10 +105,12 @@ class Index:
         self.places = dict(found)
         self.keys = np.array(sorted(found), dtype=np.uint64)
 
-    def scan(self, text: str, coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-        """(template, coverage, start, end) in code points; of overlapping finds the one with the best score."""
-        low = text.lower()
-        words = word_hashes(_WORD.findall(low))
+    def scan(self, text: str, coverage: float = COVERAGE, words: np.ndarray | None = None) -> list[tuple[str, float, int, int]]:
+        """(template, coverage, start, end) in code points; of overlapping finds the one with the best score.
+
+        words: the text's word hashes, if they are known.
+        """
+        words = text_hashes([text])[0] if words is None else words
         grams = gram_hashes(words, K)
         if not len(grams) or not len(self.keys):
             return []
@@ -136,6 +138,7 @@ class Index:
                 group = [spot]
         if not found:
             return []
+        low = text.lower()
         # lower-casing can change lengths; places are those of the text itself
         spans = [m.span() for m in _WORD.finditer(text if len(low) == len(text) else low)]
         kept: list[tuple] = []
@@ -157,7 +160,8 @@ def license_spans(docs: DataFrame, templates: Mapping[str, str] = NOTICES, id_co
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d.as_py(), *f) for d, t in zip(batch.column(0), batch.column(1), strict=True) for f in index.value.scan(t.as_py() or "", coverage)]
+            texts = batch.column(1).to_pylist()
+            rows = [(d.as_py(), *f) for d, t, h in zip(batch.column(0), texts, text_hashes(texts), strict=True) for f in index.value.scan(t or "", coverage, h)]
             if rows:
                 d, n, c, s, e = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n), pa.array(c, pa.float64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["doc_id", "license", "coverage", "start", "end"])

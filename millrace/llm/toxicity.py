@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.wordhash import word_hashes, words_of
+from millrace.llm.wordhash import text_hashes
 
 SAMPLE, FOLDS, FEATURES, LEAST_DOCS, PENALTY = 12_000, 5, 256, 8, 1.0
 
@@ -122,7 +122,7 @@ def predict_chain(chain: Sequence[Linear], hashes: np.ndarray) -> list[float]:
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Last column text becomes the distinct word hashes."""
     for batch in batches:
-        words = [np.unique(word_hashes(words_of(t.as_py()))).view(np.int64) for t in batch.column(batch.num_columns - 1)]
+        words = [np.unique(h).view(np.int64) for h in text_hashes(batch.column(batch.num_columns - 1).to_pylist())]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words, pa.list_(pa.int64()))], names=batch.schema.names)
 
 
@@ -164,8 +164,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_
         told = np.unique(np.concatenate([m.words for m in shared.value]))
         for batch in batches:
             found = []
-            for text in batch.column(1):
-                h = word_hashes(words_of(text.as_py()))
+            for h in text_hashes(batch.column(1).to_pylist()):
                 if len(told) and len(h):
                     h = h[told[np.minimum(np.searchsorted(told, h), len(told) - 1)] == h]
                 found.append(predict_chain(shared.value, np.unique(h)))

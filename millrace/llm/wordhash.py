@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"\w+")
-#: Words that a worker remembers.
-MEMO = 600_000
+#: Characters that are worked on at once; longer texts are cut at a blank.
+STEP = 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
-_memo: dict[str, int] = {}
+_BASE = 0x9FB21C651E98DF25
 
 
 def words_of(text: str | None) -> list[str]:
@@ -20,19 +22,68 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
+@lru_cache(maxsize=1)
+def _in_words() -> np.ndarray:
+    """By code point: whether it belongs to words."""
+    return np.array([chr(c).isalnum() or c == 95 for c in range(0x110000)])
 
-    memo = _memo
-    if len(memo) > MEMO:
-        memo.clear()
-    try:
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+
+_powers: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse (mod 2**64), n of each at least."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return _powers
+
+
+def _hashed(low: Sequence[str]) -> list[np.ndarray]:
+    """Word hashes of lower-cased texts: a polynomial of the code points, taken from one running sum, then mixed."""
+    points = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    inside = _in_words()[points]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = edges[0::2], edges[1::2]
+    powers, inverse = _power(len(points))
+    sums = np.cumsum(points * powers[: len(points)], dtype=np.uint64)
+    h = (sums[ends - 1] - sums[starts - 1]) * inverse[starts] + (ends - starts).astype(np.uint64) * _ODD[0]
+    for shift, odd in ((32, _ODD[1]), (29, _ODD[2])):
+        h = (h ^ (h >> np.uint64(shift))) * odd
+    h ^= h >> np.uint64(32)
+    firsts = 1 + np.cumsum([len(t) + 1 for t in low[:-1]], dtype=np.int64)
+    return np.split(h, np.searchsorted(starts, firsts))
+
+
+def text_hashes(texts: Sequence[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of the words (see ``words_of``) of each text, in order."""
+    low = [t.lower() if t else "" for t in texts]
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(low):
+        end, size = at, 0
+        while end < len(low) and (size + len(low[end]) <= STEP or end == at):
+            size += len(low[end])
+            end += 1
+        if size <= STEP:
+            out += _hashed(low[at:end])
+        else:
+            parts, text, start = [], low[at], 0
+            while start < len(text):
+                cut = text.find(" ", start + STEP) if start + STEP < len(text) else -1
+                stop = len(text) if cut < 0 else cut
+                parts += _hashed([text[start:stop]])
+                start = stop
+            out.append(np.concatenate(parts))
+        at = end
+    return out
+
+
+def word_hashes(words: Sequence[str]) -> np.ndarray:
+    """Hashes of words, as ``text_hashes`` gives them."""
+    return text_hashes([" ".join(words)])[0]
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

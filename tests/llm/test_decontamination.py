@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace.llm.decontamination import contaminated
-from millrace.llm.wordhash import aligned_spans, word_hashes, words_of
+from millrace.llm.wordhash import aligned_spans, text_hashes, word_hashes, words_of
 
 
 def slow_score(a, b, match=2, mismatch=-1, gap=-1):
@@ -82,5 +82,12 @@ def test_short_items_and_empty_tables(docs, spark):
     assert contaminated(docs([(1, "solo")]), bench.limit(0)).count() == 0
 
 
-def test_word_hashes_are_stable():
-    assert word_hashes(["a", "b", "a"]).tolist() == word_hashes(["a", "b", "a"])[::-1].tolist()
+def test_hashes_are_one_to_one_with_words():
+    rng = random.Random(6)
+    pool = ["a", "B", "ß", "é", "é", "_", "1", "²", " ", "\n", ".", "–", "中", "😀", "İ", "\x00", "ab" * 40]
+    texts = [None, "", *("".join(rng.choice(pool) for _ in range(rng.randint(0, 20))) for _ in range(2000)), "word and " * 300_000, "x" * 1_200_000]
+    got = text_hashes(texts)
+    assert [len(h) for h in got] == [len(words_of(t)) for t in texts]
+    pairs = {(w, int(h)) for t, hashes in zip(texts, got) for w, h in zip(words_of(t), hashes)}
+    assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
+    assert text_hashes(["one"])[0].tolist() == text_hashes(["x", "two one"])[1][1:].tolist() == word_hashes(["one"]).tolist()
