@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import WORD, stored
 
-BINS = 65536
+BINS = 4096
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
