@@ -162,15 +162,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text",
     mentioned = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions").alias("m")).select("digest", "m.entity", "m.terms")
     # a text counts once however often it is copied
     entities = mentioned.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    entities = entities.crossJoin(F.broadcast(total)).withColumn("ic", F.log2("total") - F.log2("n_e")).where("ic > 0")  # one row
+    near = mentioned.select("entity", "digest", F.explode("terms").alias("term"))
     # an entity that half the texts hold is one more key of sums that are made map-side
-    pairs = mentioned.join(entities, "entity").select("entity", "n_e", "digest", F.explode("terms").alias("term")).distinct()
-    pairs = stored(pairs.groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "pii-pairs")
+    pairs = near.join(entities, "entity").select("entity", "ic", "digest", "term").distinct().groupBy("entity", "ic", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    # PMI - IC = log2(n(e, t) / n(t)), and t is in at least the texts in which it stands near any entity:
+    # what fails with these can't pass with all, so words that stand near everything are never looked up in the texts
+    floor = F.col("ic") * (risk - 1)
+    around = near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    share = lambda n: F.log2("n_et") - F.log2(n)
+    pairs = stored(pairs.join(around, "term").where(share("n_near") >= floor).select("entity", "ic", "term", "n_et"), "pii-pairs")
     words = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
     spread = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total_log = F.log2(F.col("total")) - F.log2("n_e")
-    pmi = F.log2(F.col("total") * F.col("n_et")) - F.log2(F.col("n_e") * F.col("n_t"))
-    scored = pairs.join(spread, "term").crossJoin(F.broadcast(total))  # one row
-    return scored.where((total_log > 0) & (pmi >= total_log * risk)).select("entity", "term", F.when(F.col("n_et") >= F.col("n_t"), "remove").otherwise("generalise").alias("action"))
+    return pairs.join(spread, "term").where(share("n_t") >= floor).select("entity", "term", F.when(F.col("n_et") >= F.col("n_t"), "remove").otherwise("generalise").alias("action"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, risk: float = RISK) -> DataFrame:
@@ -186,6 +190,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions.entity").alias("entity")).distinct()
     # the strongest action that any entity of the text asks for
     marked = held.join(terms, "entity").groupBy("digest", "term").agg(F.max(F.col("action") == "remove").alias("gone")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("terms"))
+    marked = stored(marked, "pii-marked")  # so that its size is known before texts would be shuffled to it
     texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hit = texts.join(marked, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     own = F.filter(_placed(F.col("text"), _WORDS), lambda m: F.map_contains_key(F.col("terms"), F.lower(m["value"])))
