@@ -14,9 +14,10 @@ import hashlib
 import json
 import os
 import re
+from collections import Counter
 
-#: Entries of a worker's memo; beyond them it starts anew.
-MEMO = 1_500_000
+#: Units that a worker remembers, and half the pieces; beyond them it starts anew.
+MEMO = 400_000
 #: Python's \s holds these, the library's doesn't.
 _ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: Characters for which lower-casing, NFC and letter classes are the same in every library and Unicode version.
@@ -68,37 +69,55 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, units: list[str], prefix: str) -> None:
+    def _learn(self, units: list[str], prefix: str, ascii_only: bool) -> None:
         """Put the ids of new units into the memo. prefix: what stands before each unit in its text."""
         if len(self.memo) > self.most:
             self.memo.clear()
-        if len(self.pieces) > self.most:
+        if len(self.pieces) > 2 * self.most:
             self.pieces.clear()
-        split, plain = (_WORD_PIECE, _PLAIN) if self.kind == "words" else (_BYTE_PIECE, _BYTE_PLAIN)
-        known, special = self.pieces, self.special
+        words = self.kind == "words"
+        split, plain = (_WORD_PIECE, _PLAIN) if words else (_BYTE_PIECE, _BYTE_PLAIN)
+        known, memo = self.pieces, self.memo
         parts: dict[str, list[str]] = {}
-        new: dict[str, None] = {}
         for unit in units:
             text = prefix + unit
             if not text:
-                self.memo[unit] = b""
-            elif plain.fullmatch(text) and not any(s in text for s in special):
-                parts[unit] = found = split.findall(text.lower() if self.kind == "words" else text)
-                new.update(dict.fromkeys(p for p in found if p not in known))
+                memo[unit] = b""
+            elif ascii_only or plain.fullmatch(text):
+                low = text.lower() if words else text
+                if unit.isalpha():
+                    parts[unit] = [low]
+                elif unit[-1:] in (".", ",") and unit[:-1].isalpha():
+                    parts[unit] = [low[:-1], low[-1]]
+                else:
+                    parts[unit] = split.findall(low)
             else:
-                self.memo[unit] = self._library(text)
-        fresh = list(new)
-        for at in range(0, len(fresh), 512):
-            group = fresh[at : at + 512]
-            for piece, got in zip(group, self.library.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                known[piece] = array.array("I", got.ids).tobytes()
+                memo[unit] = self._library(text)
+        new = dict.fromkeys(p for found in parts.values() for p in found if p not in known)
+        if new:
+            fresh = list(new)
+            for piece, ids in zip(fresh, self._encode_pieces(fresh), strict=True):
+                known[piece] = ids
         for unit, found in parts.items():
-            self.memo[unit] = b"".join([known[p] for p in found])
+            memo[unit] = b"".join([known[p] for p in found])
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Pieces of the kind "words" stay apart behind blanks, so that the library can take them in one text."""
+        if self.kind == "words" and len(pieces) > 1:
+            got = self.library.encode(" ".join(pieces), add_special_tokens=False)
+            at, ids = got.word_ids, array.array("I", got.ids)
+            if at and at[-1] == len(pieces) - 1:
+                sizes = Counter(at)
+                out, start = [], 0
+                for n in range(len(pieces)):
+                    end = start + sizes[n]
+                    out.append(ids[start:end].tobytes())
+                    start = end
+                return out
+        return [array.array("I", got.ids).tobytes() for got in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def __call__(self, text: str) -> bytes:
-        if self.kind == "whole" or any(c in text for c in _ODD_SPACE):
-            return self._library(text)
-        if any(s in text for s in self.special):
+        if self.kind == "whole" or any(c in text for c in _ODD_SPACE) or any(s in text for s in self.special):
             return self._library(text)
         if self.kind == "words":
             head, units, prefix = b"", text.split(), ""
@@ -106,12 +125,15 @@ class Encoder:
             # a text can be cut before any single space that something other than white space follows
             first, *units = text.split(" ") if "  " not in text and not re.search(r" \s| $", text) else re.split(r" (?=\S)", text)
             head, prefix = self._first(first), " "
-        memo = self.memo
-        if missing := [u for u in dict.fromkeys(units) if u not in memo]:
-            self._learn(missing, prefix)
-            if any(u not in memo for u in units):  # the memo began anew
-                self._learn(list(dict.fromkeys(units)), prefix)
-        return head + b"".join([memo[u] for u in units])
+        found = list(map(self.memo.get, units))
+        if None in found:
+            ascii_only = text.isascii()
+            self._learn(list({u for u, f in zip(units, found, strict=True) if f is None}), prefix, ascii_only)
+            found = list(map(self.memo.get, units))
+            if None in found:  # the memo began anew
+                self._learn(list(dict.fromkeys(units)), prefix, ascii_only)
+                found = list(map(self.memo.__getitem__, units))
+        return head + b"".join(found)
 
     def _first(self, text: str) -> bytes:
         if text and _BYTE_PLAIN.fullmatch(text):
