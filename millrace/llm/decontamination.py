@@ -1,23 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Three scans, none of which shuffles a text:
-1. the items' word n-grams go into a bitmap of bounded size, and every
-   document's n-grams that pass it are counted by document, summed map-side:
-   document frequencies over the whole corpus;
-2. an item's seeds are its rare n-grams: those at most twice as frequent as
-   the item's RARE quantile (so that an item leaked into very many documents
-   keeps seeds too) or found in at most FEW documents. Documents are scanned
-   for seeds, and the words around them come out as hash windows, with the
-   seeds, which then join the items exactly;
-3. each pair of window and item is aligned. An alignment's score is divided by
-   that of the item with itself; from THRESHOLD on, the document holds a copy,
-   also if words were replaced, dropped or put in.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Two scans, neither of which shuffles a whole text:
+1. every word n-gram of an item is a seed, however common it is: how often it
+   occurs says nothing about the item, since copies count too. The seeds go
+   into a bitmap of bounded size;
+2. documents are scanned for seeds, and the words around them come out as hash
+   windows, with the seeds, which then join the items exactly. A window
+   reaches as far from its seeds as an alignment that counts can reach.
+
+Each pair of window and item is aligned. An alignment's score is divided by
+that of the item with itself; from THRESHOLD on, the document holds a copy,
+also if words were replaced, dropped or put in, as long as one run of N words
+is left.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import stored
 from millrace.llm.wordhash import aligned_spans, bitmap, gram_hashes, text_hashes
 
-N, RARE, FEW, THRESHOLD = 3, 0.5, 16, 0.5
+N, THRESHOLD = 3, 0.5
 MATCH = 2
+#: Bits of the bitmap for each seed, as far as its largest size goes.
+SPARSE = 4096
 
 
 def _item_words(n: int):
@@ -41,21 +43,6 @@ def _item_words(n: int):
     return split
 
 
-def _frequencies(seen, n: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[int] = Counter()
-        for batch in batches:
-            for words in text_hashes(batch.column(0).to_pylist()):
-                grams = gram_hashes(words, n)
-                hit = grams[seen.value.holds(grams)]
-                if len(hit):
-                    total.update(np.unique(hit).view(np.int64).tolist())
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["gram", "docs"])
-
-    return count
-
-
 def _windows(seen, n: int, reach: int):
     """Rows (doc_id, text_hash, at, words, grams): the words around a cluster of seeds, and the distinct seeds in it."""
 
@@ -92,7 +79,7 @@ def _aligned(threshold: float):
     return align
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, rare: float = RARE, few: int = FEW, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, score, start_word, end_word, seeds, text_hash.
 
     Words are lower-cased runs of letters and digits; positions count them,
@@ -104,19 +91,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     give an empty result.
     """
     sc = docs.sparkSession.sparkContext
-    own = stored(items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_words(n), "item_id long, item array<long>, grams array<long>").where(F.size("item") > 0).distinct(), "items")
-    grams = stored(own.select("item_id", "item", F.explode("grams").alias("gram")), "item-grams")
-    reach = int(own.agg(F.max(F.size("item"))).first()[0] or 0)
+    own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_words(n), "item_id long, item array<long>, grams array<long>").where(F.size("item") > 0).distinct()
+    own = stored(own.withColumn("item_hash", F.xxhash64("item")), "items")
+    seeds = stored(own.select("item_id", "item_hash", F.explode("grams").alias("gram")), "seeds")
+    # with match 2 and gap -1, an alignment that counts has put in at most 2 (1 - threshold) words for each word of the item
+    reach = ceil((3 - 2 * threshold) * (own.agg(F.max(F.size("item"))).first()[0] or 0))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    all_seen = sc.broadcast(bitmap(grams.select("gram").distinct(), "gram"))  # 32 MB at most
-    counts = texts.select("text").mapInArrow(_frequencies(all_seen, n), "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    counted = stored(grams.join(counts, "gram", "left").withColumn("docs", F.coalesce("docs", F.lit(0))), "gram-counts")
-    limits = counted.groupBy("item_id", "item").agg(F.percentile_approx("docs", rare, 10_000).alias("limit"))
-    seeds = stored(counted.join(limits, ["item_id", "item"]).where((F.col("docs") <= 2 * F.col("limit")) | (F.col("docs") <= few)).select("gram", "item_id", "item"), "seeds")
-    rare_seen = sc.broadcast(bitmap(seeds.select("gram").distinct(), "gram"))  # 32 MB at most
-    windows = stored(texts.mapInArrow(_windows(rare_seen, n, reach), "doc_id long, text_hash long, at long, words array<long>, grams array<long>"), "windows")
+    seen = sc.broadcast(bitmap(seeds.select("gram").distinct(), "gram", SPARSE))  # 32 MB at most
+    windows = stored(texts.mapInArrow(_windows(seen, n, reach), "doc_id long, text_hash long, at long, words array<long>, grams array<long>"), "windows")
     hits = windows.select("doc_id", "text_hash", "at", "words", F.explode("grams").alias("gram")).join(seeds, "gram")
-    pairs = hits.groupBy("doc_id", "text_hash", "at", "item_id", "item").agg(F.count("*").alias("seeds"), F.first("words").alias("words"))
+    pairs = hits.groupBy("doc_id", "text_hash", "at", "item_id", "item_hash").agg(F.count("*").alias("seeds"), F.first("words").alias("words"))
+    # null ids of items join too
+    held = own.select(F.col("item_id").alias("own_id"), F.col("item_hash").alias("own_hash"), "item")
+    pairs = pairs.join(held, (F.col("item_hash") == F.col("own_hash")) & F.col("item_id").eqNullSafe(F.col("own_id")))
+    pairs = pairs.select("doc_id", "text_hash", "at", "item_id", "seeds", "words", "item")
     schema = "doc_id long, text_hash long, at long, item_id long, seeds long, score double, start_word long, end_word long"
     found = pairs.mapInArrow(_aligned(threshold), schema).withColumns({c: F.col(c) + F.col("at") for c in ("start_word", "end_word")})
     best = F.max_by(F.struct("score", "start_word", "end_word", "seeds"), F.struct("score", -F.col("start_word"))).alias("best")

@@ -114,10 +114,10 @@ class Bitmap:
 MOST_BITS = 28
 
 
-def bitmap(hashes: DataFrame, column: str) -> Bitmap:
-    """Made of map-side sums; what comes to the driver is the bitmap's own words, 32 MB at most, however many hashes there are."""
+def bitmap(hashes: DataFrame, column: str, each: int = 64) -> Bitmap:
+    """Of ``each`` bits for a hash, as far as MOST_BITS goes. Made of map-side sums; what comes to the driver is the bitmap's own words, 32 MB at most, however many hashes there are."""
     n = hashes.count()
-    bits = int(np.clip(np.ceil(np.log2(max(n, 1) * 64)), 12, MOST_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) * each)), 12, MOST_BITS))
     slot = F.shiftrightunsigned(F.col(column), 64 - bits)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int"))
     rows = hashes.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(bit).alias("word")).toPandas()

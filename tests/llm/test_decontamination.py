@@ -74,6 +74,23 @@ def test_an_item_in_most_documents_is_still_found(docs, spark, items):
     assert sorted(r.doc_id for r in got.collect()) == list(range(200))
 
 
+def test_edited_and_partial_copies_in_most_documents_are_found(docs, spark, items):
+    rng = random.Random(5)
+    fifth = " ".join("zz" if i % 5 == 4 else w for i, w in enumerate(items[0][1].split()))
+    words = items[1][1].split()
+    part = " ".join(words[: len(words) * 6 // 10])
+    rows = [(n, f"{fill(rng, 20)} {fifth if n % 2 else part} {fill(rng, 20)}") for n in range(200)] + [(n, fill(rng, 50)) for n in range(200, 230)]
+    got = contaminated(docs(rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(n, 1 - n % 2) for n in range(200)]
+
+
+def test_insertions_beyond_the_items_length_stay_in_the_window(docs, spark):
+    item = [f"q{i}" for i in range(40)]
+    copy = [w for i, w in enumerate(item) for w in ([w] if i < 3 else ["zz", w])]
+    got = contaminated(docs([(1, " ".join(["of"] * 9 + copy))]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.item_id, r.score, r.start_word, r.end_word) for r in got] == [(7, slow_score(item, copy) / 80, 9, 9 + len(copy))]
+
+
 def test_short_items_and_empty_tables(docs, spark):
     bench = spark.createDataFrame([(1, "solo"), (2, "two words")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in contaminated(docs([(1, "solo"), (2, "here two words are"), (3, "two words")]), bench).collect()}
