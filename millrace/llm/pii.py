@@ -7,7 +7,8 @@ it does is estimated over the whole corpus, counted in distinct texts:
 
     IC(e) = -log2(n(e) / N),   PMI(e; t) = log2(N n(e, t) / (n(e) n(t)))
 
-where n(e, t) counts the texts in which t stands within WINDOW words of e. If
+where n(e, t) counts the texts in which t stands within WINDOW words of e, be
+they far off or parts of other entities (words are runs of letters). If
 PMI reaches RISK times IC, t discloses e, and t is a span wherever it occurs
 in a text that holds e. It is removed if it discloses e fully (PMI = IC), else
 generalised. Entities and pairs seen in fewer than SUPPORT texts are left
@@ -36,7 +37,7 @@ PATTERNS = {
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 _WORDS = r"\p{L}++"
-WINDOW, REACH, SUPPORT, RISK = 10, 200, 3, 0.9
+WINDOW, SUPPORT, RISK = 10, 3, 0.9
 #: Elements of a block of the two-level running sum.
 _BLOCK = 64
 
@@ -61,7 +62,7 @@ def _holds(kind: str, value: Column) -> Column:
 
 
 def _placed(text: Column, pattern: str) -> Column:
-    """Array of (value, start, end, before, after): matches, their code points, and the text between them and their neighbours."""
+    """Array of (value, start, end): matches and their code points."""
 
     def sums(matches: Column) -> Column:
         n = F.size(matches)
@@ -80,7 +81,7 @@ def _placed(text: Column, pattern: str) -> Column:
                         def one(step: Column, i: Column) -> Column:
                             base = F.get(upto, F.floor(i / _BLOCK).cast("int"))
                             start = base + add(F.slice(steps, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)) + step["p"]
-                            return _let(start, lambda s: F.struct(F.get(matches, i).alias("value"), s.alias("start"), (s + step["m"]).alias("end"), F.get(pieces, i).alias("before"), F.get(pieces, i + 1).alias("after")))
+                            return _let(start, lambda s: F.struct(F.get(matches, i).alias("value"), s.alias("start"), (s + step["m"]).alias("end")))
 
                         return F.transform(steps, one)
 
@@ -96,22 +97,25 @@ def _placed(text: Column, pattern: str) -> Column:
     return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), sums)
 
 
-def _window_terms(before: Column, after: Column) -> Column:
-    """Lower-cased words of three letters or more among the WINDOW words on either side; a word cut by the reach is left out."""
-    left, right = F.lower(F.right(before, F.lit(REACH))), F.lower(F.left(after, F.lit(REACH)))
-    words = lambda t: F.regexp_extract_all(t, F.lit(_WORDS), F.lit(0))
+def _first(words: Column, test) -> Column:
+    """Index of the first element for which ``test`` holds, and then for all after it; the size if there is none. By halving."""
+    n = F.size(words)
 
-    def near(found: Column, cut: Column, last: bool) -> Column:
-        n = F.size(found)
-        if last:  # the words nearest are the last ones
-            return _let(F.greatest(F.when(cut, F.lit(1)).otherwise(F.lit(0)), n - WINDOW), lambda skip: F.slice(found, skip + 1, F.greatest(n - skip, F.lit(0))))
-        return F.slice(found, F.lit(1), F.least(F.greatest(F.when(cut, n - 1).otherwise(n), F.lit(0)), F.lit(WINDOW)))
+    def step(state: Column, _: Column) -> Column:
+        mid = F.shiftright(state["lo"] + state["hi"], 1)
+        ahead = F.when(test(F.get(words, mid)), F.struct(state["lo"].alias("lo"), mid.alias("hi"))).otherwise(F.struct((mid + 1).alias("lo"), state["hi"].alias("hi")))
+        return F.when(state["lo"] < state["hi"], ahead).otherwise(state)
 
-    both = F.concat(
-        _let(words(left), lambda w: near(w, F.length(before) > REACH, True)),
-        _let(words(right), lambda w: near(w, F.length(after) > REACH, False)),
-    )
-    return F.array_distinct(F.filter(both, lambda w: F.length(w) >= 3))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), F.struct(F.lit(0).alias("lo"), n.alias("hi")), step, lambda state: state["lo"])
+
+
+def _window_terms(words: Column, start: Column, end: Column) -> Column:
+    """Lower-cased words of three letters or more among the WINDOW words before ``start`` and those after ``end``; a word that the entity runs into ends there."""
+    before = _let(_first(words, lambda w: w["start"] >= start), lambda k: F.slice(words, F.greatest(k - WINDOW, F.lit(0)) + 1, F.least(k, F.lit(WINDOW))))
+    after = _let(_first(words, lambda w: w["end"] > end), lambda k: F.slice(words, k + 1, WINDOW))
+    left = F.transform(before, lambda w: F.when(w["end"] > start, F.left(w["value"], (start - w["start"]).cast("int"))).otherwise(w["value"]))
+    right = F.transform(after, lambda w: F.when(w["start"] < end, F.right(w["value"], (w["end"] - end).cast("int"))).otherwise(w["value"]))
+    return F.array_distinct(F.filter(F.transform(F.concat(left, right), F.lower), lambda w: F.length(w) >= 3))
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -138,8 +142,8 @@ def _spans_of(kind: str) -> Column:
     return F.coalesce(spans.cast(_SPAN), F.array().cast(_SPAN))
 
 
-def _mentions_of(kind: str) -> Column:
-    found = F.transform(kind, lambda m: F.struct(_entity(kind, m["value"]).alias("entity"), _window_terms(m["before"], m["after"]).alias("terms")))
+def _mentions_of(kind: str, words: Column) -> Column:
+    found = F.transform(kind, lambda m: F.struct(_entity(kind, m["value"]).alias("entity"), F.coalesce(_window_terms(words, m["start"], m["end"]), F.array().cast("array<string>")).alias("terms")))
     return F.coalesce(found.cast(_MENTION), F.array().cast(_MENTION))
 
 
@@ -152,8 +156,10 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if kind in hint:
             found = F.when(F.contains("text", F.lit(hint[kind])), found)
         rows = rows.withColumn(kind, _valid(found, kind))
-    spans, mentions = [_spans_of(k) for k in PATTERNS], [_mentions_of(k) for k in PATTERNS]
-    return rows.select("doc_id", F.md5("text").alias("digest"), F.concat(*spans).alias("base"), F.concat(*mentions).alias("mentions"))
+    some = F.greatest(*[F.coalesce(F.size(kind), F.lit(0)) for kind in PATTERNS]) > 0
+    spans = [_spans_of(k) for k in PATTERNS]
+    mentions = F.when(some, _let(_placed(F.col("text"), _WORDS), lambda words: F.concat(*[_mentions_of(k, words) for k in PATTERNS]))).otherwise(F.array().cast(_MENTION))
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.concat(*spans).alias("base"), mentions.alias("mentions"))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, risk: float = RISK) -> DataFrame:

@@ -102,6 +102,38 @@ def test_terms_agree_with_the_formula(docs):
     assert got == want and ("email:boss@corp.example", "zorbax") in got
 
 
+def test_windows_go_past_numbers_entities_and_gaps(docs):
+    """Brute force as above, over texts with numbers, lists of entities and words far apart."""
+    rng = random.Random(7)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "12", "2024", "10.5", "x"]) for _ in range(n))
+    texts = [f"{fill(4)} Zorbax paid 17 on 2024 in {i} parts 4371549438645904 then 55 and 77 by Quixote {fill(5)}" for i in range(10, 16)]
+    texts += [f"{fill(i)} Farlow {'. ' * 150} far@off.example {'- ' * 150} Yonder {fill(3)}" for i in range(2, 6)]
+    texts += [f"{fill(i)} Mira +4912345671, Nora +4912345672, one@list.example two@list.example, Olga 10.1.2.3 Petra 999.1.1.1 {fill(i)}" for i in range(3, 8)]
+    texts += [f"{fill(i)} \u00e9Ugo@cut.example\u00fcbrig 10.9.8.7 {'1 ' * 300}" for i in range(4)] + ["+4912345679", "10.0.0.1 " * 400] + [fill(30) for _ in range(60)]
+    texts += [" ".join(rng.choice(["Vera", "a@b.example", "10.0.0.1", "+4912345678", "4371549438645904", "99", "ab", "Walt", "(", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    texts = sorted(set(texts))
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    held, near = {}, {}
+    for t in texts:
+        for kind, s, e in base(t):
+            name = f"{kind}:{t[s:e].lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', t[s:e])}"
+            held.setdefault(name, set()).add(t)
+            for w in words(t[:s])[-10:] + words(t[e:])[:10]:
+                if len(w) >= 3:
+                    near.setdefault((name, w), set()).add(t)
+    want = set()
+    for (name, w), found in near.items():
+        ic, n_t = -math.log2(len(held[name]) / len(texts)), sum(w in words(t) for t in texts)
+        if len(found) >= 3 and n_t and math.log2(len(found) / n_t) >= -0.1 * ic:  # a word cut by an entity may be none of the text's
+            want.add((name, w))
+    df = docs(list(enumerate(texts)))
+    rows = base_spans(df).collect()
+    assert {(m.entity, w, texts[r.doc_id]) for r in rows for m in r.mentions for w in m.terms} == {(*k, t) for k, found in near.items() for t in found}
+    assert {(r.entity, r.term) for r in disclosing_terms(base_spans(df), df).collect()} == want
+    assert {("card:4371549438645904", "zorbax"), ("email:far@off.example", "farlow"), ("email:far@off.example", "yonder"), ("phone:4912345671", "petra"), ("email:ugo@cut.example", "\u00fcbrig")} <= set(near)
+    assert {("email:far@off.example", "farlow"), ("phone:4912345671", "olga")} <= want
+
+
 def test_terms_are_spans_where_the_entity_is_and_base_spans_stay(docs):
     rows = corpus()
     df = docs([*enumerate(rows), (500, rows[0]), (None, rows[1])])
