@@ -18,13 +18,14 @@ from millrace.llm.shared import scratch_path, stored, table
 from millrace.llm.simhash import simhash_groups
 from millrace.llm.tokenfiles import token_file_digests, write_token_files
 
-#: Below this cosine with every language a text counts as none of them.
-LEAST_SCORE = 0.05
+#: Below this cosine with every language a text counts as none of them. Texts that share no 3-gram
+#: with a language have cosines about 0 with a deviation of 1/sqrt(LANGUAGE_DIM) = 0.011.
+LEAST_SCORE, LANGUAGE_DIM = 0.05, 8192
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the rows whose text is in one of the learned languages: not und, and near enough to a prototype."""
-    langs, prototypes = learn_prototypes(docs.where(~held_out(F.col("doc_id"))))
+    langs, prototypes = learn_prototypes(docs.where(~held_out(F.col("doc_id"))), dim=LANGUAGE_DIM)
     told = predict_languages(docs, langs, prototypes)
     return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 DIM = 512
 SEED = 20
-#: Characters that are worked on at once.
-STEP = 1_500_000
+#: Characters that are worked on at once, texts that are told at once, and cells of the matrices they take.
+STEP, TEXTS, CELLS = 1_500_000, 400, 2_000_000
 
 
 @lru_cache(maxsize=1)
@@ -74,12 +74,16 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[middle], gram, np.stack([alphabet[distinct // (n * n)], alphabet[distinct // n % n], alphabet[distinct % n]], axis=1)
 
 
-def _bound(grams: np.ndarray, dim: int) -> np.ndarray:
-    """The vector of each 3-gram."""
+def _bound(grams: np.ndarray, dim: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """The vectors of the 3-grams, some columns at a time."""
     codes, at = np.unique(grams, return_inverse=True)
     own = np.stack([letter_vector(int(c), dim) for c in codes])
+    twice, once = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1)
     a, b, c = at.reshape(grams.shape).T
-    return (np.roll(own, 2, axis=1)[a] * np.roll(own, 1, axis=1)[b] * own[c]).astype(np.float32)
+    wide = max(64, CELLS // len(grams))
+    for first in range(0, dim, wide):
+        some = slice(first, first + wide)
+        yield some, (twice[:, some][a] * once[:, some][b] * own[:, some][c]).astype(np.float32)
 
 
 def bundles(texts: list[str], group: np.ndarray, groups: int, dim: int = DIM) -> np.ndarray:
@@ -96,13 +100,13 @@ def bundles(texts: list[str], group: np.ndarray, groups: int, dim: int = DIM) ->
             own, row = np.unique(group[at:end], return_inverse=True)
             rows = row[doc]
             wide = len(grams)
-            step = max(1, 8_000_000 // wide)
-            vectors = _bound(grams, dim)
-            for first in range(0, len(own), step):
-                some = (rows >= first) & (rows < first + step)
-                n = min(step, len(own) - first)
-                counts = np.bincount((rows[some] - first) * wide + gram[some], minlength=n * wide)
-                out[own[first : first + n]] += counts.reshape(n, wide).astype(np.float32) @ vectors
+            step = max(1, CELLS // wide)
+            for some, vectors in _bound(grams, dim):
+                for first in range(0, len(own), step):
+                    those = (rows >= first) & (rows < first + step)
+                    n = min(step, len(own) - first)
+                    counts = np.bincount((rows[those] - first) * wide + gram[those], minlength=n * wide)
+                    out[own[first : first + n], some] += counts.reshape(n, wide).astype(np.float32) @ vectors
         at = end
     return out
 
@@ -148,9 +152,12 @@ def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray,
         kinds = _letters()
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            v = bundles(texts, np.arange(len(texts)), len(texts), unit.shape[1])
-            size = np.linalg.norm(v, axis=1)
-            cos = v @ unit.T / np.maximum(size, 1e-300)[:, None]
+            size, cos = np.zeros(len(texts)), np.zeros((len(texts), len(unit)))
+            for first in range(0, len(texts), TEXTS):
+                some = texts[first : first + TEXTS]
+                v = bundles(some, np.arange(len(some)), len(some), unit.shape[1])
+                size[first : first + TEXTS] = own = np.linalg.norm(v, axis=1)
+                cos[first : first + TEXTS] = v @ unit.T / np.maximum(own, 1e-300)[:, None]
             best = cos.argmax(axis=1) if len(langs) and len(texts) else np.zeros(len(texts), int)
             names, scores = [], []
             for i, t in enumerate(texts):

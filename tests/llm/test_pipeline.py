@@ -37,6 +37,14 @@ def test_decisions_take_effect(spark, docs, rows):
     assert clean == set(range(60)) | {100, 101, 102}
 
 
+def test_texts_in_scripts_never_learned_go(spark, docs, rows):
+    rng = random.Random(2)
+    foreign = lambda first, last: " ".join("".join(chr(rng.randint(first, last)) for _ in range(rng.randint(2, 9))) for _ in range(300))
+    odd = [(i, foreign(*[(0x430, 0x44F), (0x3B1, 0x3C9), (0x627, 0x64A), (0x4E00, 0x5000)][i % 4]), None, "a") for i in range(1000, 1080)]
+    known = {r.doc_id for r in corpus_pipeline.language(spark, docs([*rows, *odd, (2000, "the", "en", "a")]), SF).collect()}
+    assert known == set(range(60)) | {2000}
+
+
 def test_mixing_repeats_rows_as_the_mixture_says(spark, docs, rows):
     from millrace.llm.mixing import mixture
 
