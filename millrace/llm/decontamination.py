@@ -85,7 +85,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Words are lower-cased runs of letters and digits; positions count them,
     ends exclusive; of several copies of an item the best counts, then the
     first. Null, empty and wordless texts hold nothing, and such items are
-    held by none. Items of equal id are told apart by their texts until the
+    held by none. Items of fewer than n words are only matched against texts
+    that consist of nothing else. Items of equal id are told apart by their texts until the
     end. Repeated rows give one result row; rows of equal id, null too, are
     told apart by their text_hash. Other columns are ignored; empty tables
     give an empty result.
