@@ -64,8 +64,9 @@ class ShardWriter:
         self.frames, self.table, self.ids = [head], [(len(head), 0, 0)], []
         self.size = len(head)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        data = ids.astype(f"<u{self.width}").tobytes()
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: little-endian, of 4 bytes each."""
+        data = ids if self.width == 4 else np.frombuffer(ids, dtype="<u4").astype("<u2").tobytes()
         frame = self.packer.compress(data)
         self.frames.append(frame)
         self.table.append((len(frame), len(data), _xxh(data)))
@@ -137,12 +138,13 @@ def write_token_files(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
         width = 2 if max(encode.library.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
-        end, partition, shard, out = np.array([end_id], dtype="<u4"), TaskContext.get().partitionId(), 0, None
+        end, partition, shard, out = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0, None
         row = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], names=["value"])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(texts), strict=True):
                 out = out or ShardWriter(partition, shard, width)
-                out.add(doc_id.as_py(), np.r_[np.frombuffer(encode(text.as_py() or ""), dtype="<u4"), end])
+                out.add(doc_id, ids + end)
                 if out.size >= shard_bytes or len(out.ids) >= shard_docs:
                     yield row(out)
                     out, shard = None, shard + 1
@@ -160,7 +162,12 @@ def _shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | None = None) -> DataFrame:
-    """(doc_id, tokens) of all documents, or of those asked for, whose frames alone are decompressed."""
+    """(doc_id, tokens) of all documents, or of those asked for, whose frames alone are decompressed.
+
+    Null ids and repeated rows come out as they went in, empty texts as the end
+    id alone; ids that no file holds give nothing, an empty folder gives an
+    empty result.
+    """
     wanted = None if doc_ids is None else frozenset(doc_ids)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +182,11 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: Iterable[int] | No
 
 
 def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """Read the files back: doc_id, start, n_tokens, ids_crc32 of every document; start counts the ids of all before it."""
+    """Read the files back: doc_id, start, n_tokens, ids_crc32 of every document; start counts the ids of all before it.
+
+    Null ids stand first and repeated rows side by side, each with a start of
+    its own; an empty folder gives an empty result.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
