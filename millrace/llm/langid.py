@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 DIM = 512
 SEED = 20
 #: Characters that are worked on at once, texts that are told at once, and cells of the matrices they take.
-STEP, TEXTS, CELLS = 1_500_000, 400, 2_000_000
+STEP, TEXTS, CELLS = 500_000, 400, 1_000_000
+#: Bits of a code point in the number of a 3-gram.
+_BITS = 21
 
 
 @lru_cache(maxsize=1)
@@ -44,10 +46,6 @@ def letter_vector(code: int, dim: int) -> np.ndarray:
     return (np.random.default_rng([SEED, code]).integers(0, 2, dim) * 2 - 1).astype(np.int8)
 
 
-def has_letter(text: Column) -> Column:
-    return F.coalesce(F.regexp_like(text, F.lit(r"\p{L}")), F.lit(False))
-
-
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the 3-grams of ``texts``: index of the text, index of the 3-gram in the third result (rows of 3 code points)."""
     low = [t.lower() for t in texts]
@@ -64,7 +62,7 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     local[alphabet] = np.arange(len(alphabet))
     x, n = local[points], len(alphabet)
     code = (x[middle - 1] * n + x[middle]) * n + x[middle + 1]
-    if n**3 <= 1 << 22:
+    if n**3 <= 1 << 20:
         distinct = np.flatnonzero(np.bincount(code, minlength=n**3))
         place = np.zeros(n**3, dtype=np.int64)
         place[distinct] = np.arange(len(distinct))
@@ -86,15 +84,21 @@ def _bound(grams: np.ndarray, dim: int) -> Iterator[tuple[slice, np.ndarray]]:
         yield some, (twice[:, some][a] * once[:, some][b] * own[:, some][c]).astype(np.float32)
 
 
+def _upto(texts: list[str], at: int) -> int:
+    """End of the texts from ``at`` on that are worked on at once."""
+    end, size = at, 0
+    while end < len(texts) and (size < STEP or end == at):
+        size += len(texts[end])
+        end += 1
+    return end
+
+
 def bundles(texts: list[str], group: np.ndarray, groups: int, dim: int = DIM) -> np.ndarray:
     """Sums of the 3-gram vectors of the texts of each group (group[i] is the group of text i)."""
     out = np.zeros((groups, dim))
     at = 0
     while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (size < STEP or end == at):
-            size += len(texts[end])
-            end += 1
+        end = _upto(texts, at)
         doc, gram, grams = _grams(texts[at:end])
         if len(grams):
             own, row = np.unique(group[at:end], return_inverse=True)
@@ -114,23 +118,46 @@ def bundles(texts: list[str], group: np.ndarray, groups: int, dim: int = DIM) ->
 def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes. Rows with a null text or language teach nothing.
 
-    Each task adds up its rows; the sums of the tasks are added by Spark. What
-    comes to the driver is one vector per language.
+    A prototype is a sum over 3-grams, so Spark adds up how often each occurs in
+    each language, and each distinct one is bound once. What comes to the
+    driver is one vector per language.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             own = sorted(set(langs))
             group = np.array([own.index(x) for x in langs], dtype=int)
-            for lang, v in zip(own, bundles(texts, group, len(own), dim), strict=True):
-                total[lang] = total.get(lang, 0) + v
+            at = 0
+            while at < len(texts):
+                end = _upto(texts, at)
+                doc, gram, grams = _grams(texts[at:end])
+                if len(grams):
+                    counts = np.bincount(group[at:end][doc] * len(grams) + gram, minlength=len(own) * len(grams))
+                    some = np.flatnonzero(counts)
+                    a, b, c = grams[some % len(grams)].astype(np.int64).T
+                    names = pa.DictionaryArray.from_arrays(pa.array(some // len(grams), pa.int32()), pa.array(own)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([names, pa.array((a << 2 * _BITS) | (b << _BITS) | c), pa.array(counts[some], pa.int64())], names=["lang", "gram", "n"])
+                at = end
+
+    def bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        low = (1 << _BITS) - 1
+        for batch in batches:
+            code, n = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
+            langs = np.array(batch.column(0).to_pylist(), dtype=object)
+            for first in range(0, len(code), 4096):
+                part = code[first : first + 4096]
+                for some, vectors in _bound(np.stack([part >> 2 * _BITS, part >> _BITS & low, part & low], axis=1), dim):
+                    for lang in sorted(set(langs[first : first + 4096])):
+                        own = langs[first : first + 4096] == lang
+                        total.setdefault(lang, np.zeros(dim))[some] += n[first : first + 4096][own] @ vectors[own].astype(float)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.astype(np.int64) for v in total.values()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
-    parts = rows.mapInArrow(add, "lang string, v array<long>").select("lang", F.posexplode("v"))
+    grams = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    parts = grams.mapInArrow(bind, "lang string, v array<long>").select("lang", F.posexplode("v"))
     sums = parts.groupBy("lang", "pos").agg(F.sum("col").alias("v"))
     found: dict[str, np.ndarray] = {}
     for r in sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("v")).collect():
@@ -139,38 +166,33 @@ def learn_prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return langs, np.stack([found[k] for k in langs]) if langs else np.zeros((0, dim))
 
 
-def predict_languages(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (cosine, at least 0) as last columns; ``docs`` must have neither.
+def language_of(text: Column, langs: list[str], prototypes: np.ndarray) -> Column:
+    """Struct of lang_pred and score (cosine, at least 0) of a text.
 
     und with score 0 stands for a text that is null or has no letter, and for
     any text if nothing was learned. Ties go to the first language in order.
+    Texts of any length are told whole.
     """
     unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-300)
-    at = docs.columns.index(text_col)
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def predict(column: pa.Array) -> pa.Array:
         kinds = _letters()
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            size, cos = np.zeros(len(texts)), np.zeros((len(texts), len(unit)))
-            for first in range(0, len(texts), TEXTS):
-                some = texts[first : first + TEXTS]
-                v = bundles(some, np.arange(len(some)), len(some), unit.shape[1])
-                size[first : first + TEXTS] = own = np.linalg.norm(v, axis=1)
-                cos[first : first + TEXTS] = v @ unit.T / np.maximum(own, 1e-300)[:, None]
-            best = cos.argmax(axis=1) if len(langs) and len(texts) else np.zeros(len(texts), int)
-            names, scores = [], []
-            for i, t in enumerate(texts):
-                letters = size[i] > 0 and any(kinds[ord(c)] == 2 for c in t)
-                names.append(langs[best[i]] if letters and langs else "und")
-                scores.append(float(min(1.0, max(0.0, cos[i, best[i]]))) if letters and langs else 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return docs.mapInArrow(predict, f"{_ddl(docs)}, lang_pred string, score double")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        texts = [t or "" for t in column.to_pylist()]
+        size, cos = np.zeros(len(texts)), np.zeros((len(texts), len(unit)))
+        for first in range(0, len(texts), TEXTS):
+            some = texts[first : first + TEXTS]
+            v = bundles(some, np.arange(len(some)), len(some), unit.shape[1])
+            size[first : first + TEXTS] = own = np.linalg.norm(v, axis=1)
+            cos[first : first + TEXTS] = v @ unit.T / np.maximum(own, 1e-300)[:, None]
+        best = cos.argmax(axis=1) if len(langs) and len(texts) else np.zeros(len(texts), int)
+        names, scores = [], []
+        for i, t in enumerate(texts):
+            letters = size[i] > 0 and any(kinds[ord(c)] == 2 for c in t)
+            names.append(langs[best[i]] if letters and langs else "und")
+            scores.append(float(min(1.0, max(0.0, cos[i, best[i]]))) if letters and langs else 0.0)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    return F.arrow_udf(predict, "lang_pred string, score double")(text)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -181,8 +203,11 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score. Learns from the rows that aren't held out.
 
-    Other columns are ignored; an empty table gives an empty result.
+    Nulls, ties and long texts are as ``language_of`` says; repeated rows and
+    null ids keep their rows. Other columns are ignored, whatever their names;
+    an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, prototypes = learn_prototypes(rows.where("not held_out"), dim=dim)
-    return predict_languages(rows.select("doc_id", "held_out", "text"), langs, prototypes).select("doc_id", "held_out", "lang_pred", "score")
+    told = rows.select("doc_id", "held_out", language_of(F.col("text"), langs, prototypes).alias("told"))
+    return told.select("doc_id", "held_out", "told.lang_pred", "told.score")
