@@ -3,8 +3,9 @@
 The cache is a Parquet table of (tokenizer digest, content digest, count). A
 text's content is normalised as its tokenizer does before anything else: not
 at all for the byte-level file, so that counts stay exact; null is the empty
-text. Documents join the cache by digest, only distinct misses are encoded,
-and their counts are appended.
+text. Digests alone are joined with the cache; what is missing there is encoded
+once, and its counts are appended. Texts only move to bring together copies
+of those that are missing, and copies meet within their map task first.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.encoding import encoder, tokenizer_version
-from millrace.llm.shared import path_exists
+from millrace.llm.shared import path_exists, stored
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
@@ -34,8 +35,10 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_path: str, limit: i
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit. Misses are appended to the cache at once.
 
     Null texts count as empty (0 tokens); null and repeated ids keep their
-    rows; equal texts are encoded once. Other columns are ignored; an empty
-    table gives an empty result and leaves the cache as it is.
+    rows; texts of any length count whole, equal ones are encoded once. Of two
+    writers at the same time both may append a text's count, which then counts
+    once. Other columns are ignored; an empty table gives an empty result and
+    leaves the cache as it is.
     """
     spark = docs.sparkSession
     content = Path(tokenizer_file).read_text()
@@ -45,16 +48,22 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_path: str, limit: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(shared.value)
         for batch in batches:
-            n = [len(encode(t.as_py())) // 4 for t in batch.column(1)]
+            n = [len(ids) // 4 for ids in encode.batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["digest", "n_tokens"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
-    known = cached_counts(spark, cache_path, version)
-    # one text per digest: copies meet within their map task first
-    misses = rows.select("digest", "text").join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
-    made = misses.mapInArrow(count, "digest binary, n_tokens long")
+    distinct = rows.groupBy("digest").agg(F.max("text").alias("text"))  # equal digests have equal texts
+    if path_exists(spark, cache_path):
+        asked = rows.select("digest").distinct()
+        known = stored(cached_counts(spark, cache_path, version).join(asked, "digest", "left_semi"), "known-counts")
+        missing = stored(asked.join(known, "digest", "left_anti"), "missing-digests")
+        distinct = distinct.join(missing, "digest", "left_semi")
+    else:
+        known = spark.createDataFrame([], "digest binary, n_tokens long")
+    made = stored(distinct.mapInArrow(count, "digest binary, n_tokens long"), "new-counts")
     made.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(cached_counts(spark, cache_path, version), "digest").select(
+    # a digest stands once in known or made, and nothing is summed between the shuffle and the join: hot digests can be split
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(known.union(made), "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
