@@ -5,10 +5,12 @@ Two scans, neither of which shuffles a whole text:
    occurs says nothing about the item, since copies count too. The seeds go
    into a bitmap of bounded size;
 2. documents are scanned for seeds, and the words around them come out as hash
-   windows, with the seeds, which then join the items exactly. A window
-   reaches as far from its seeds as an alignment that counts can reach.
+   windows, with the seeds and their places, which then join the items
+   exactly. From a seed, a window reaches as far as an alignment with one of
+   the seed's items can reach if it is to count.
 
-Each pair of window and item is aligned. An alignment's score is divided by
+The seeds of an item in a window make stretches, whose words, cut to the item's
+own reach, are aligned with it. An alignment's score is divided by
 that of the item with itself; from THRESHOLD on, the document holds a copy,
 also if words were replaced, dropped or put in, as long as one run of N words
 is left.
@@ -17,11 +19,10 @@ is left.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
@@ -31,6 +32,8 @@ N, THRESHOLD = 3, 0.5
 MATCH = 2
 #: Bits of the bitmap for each seed, as far as its largest size goes.
 SPARSE = 4096
+#: Bits of a seed by which its reach is looked up.
+REACH_BITS = 20
 
 
 def _item_words(n: int):
@@ -43,32 +46,50 @@ def _item_words(n: int):
     return split
 
 
-def _windows(seen, n: int, reach: int):
-    """Rows (doc_id, text_hash, at, words, grams): the words around a cluster of seeds, and the distinct seeds in it."""
+def _windows(seen, n: int):
+    """Rows (doc_id, text_hash, at, words, places, grams): words around seeds that reach each other, and where in the text which seed stands."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_, reaches = seen.value
         for batch in batches:
             out: list[tuple] = []
             for row, words in enumerate(text_hashes(batch.column(2).to_pylist())):
                 grams = gram_hashes(words, n)
-                places = np.flatnonzero(seen.value.holds(grams))
+                places = np.flatnonzero(filter_.holds(grams))
                 if not len(places):
                     continue
-                for group in np.split(places, np.flatnonzero(np.diff(places) > 2 * reach) + 1):
-                    first, last = max(0, int(group[0]) - reach), min(len(words), int(group[-1]) + n + reach)
-                    out.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), first, words[first:last].view(np.int64), np.unique(grams[group]).view(np.int64)))
+                far = reaches[(grams[places] >> np.uint64(64 - REACH_BITS)).astype(np.int64)].astype(np.int64)
+                far = np.where(far > 0, np.int64(1) << np.minimum(far, 40), 0)
+                low, high = np.maximum(0, places - far), np.minimum(len(words), places + n + far)
+                # a seed of a short item may stand within the reach of a long one's
+                order = np.argsort(low, kind="stable")
+                upto = np.maximum.accumulate(high[order])
+                cuts = np.flatnonzero(low[order][1:] > upto[:-1]) + 1
+                for group in np.split(order, cuts):
+                    first, last = int(low[group].min()), int(high[group].max())
+                    own = np.sort(places[group])
+                    out.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), first, words[first:last].view(np.int64), own, grams[own].view(np.int64)))
             if out:
-                d, h, at, w, g = zip(*out, strict=True)
+                d, h, at, w, p, g = zip(*out, strict=True)
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int64()), pa.array(w, longs), pa.array(g, longs)], names=["doc_id", "text_hash", "at", "words", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int64()), pa.array(w, longs), pa.array(p, longs), pa.array(g, longs)], names=["doc_id", "text_hash", "at", "words", "places", "grams"])
 
     return find
 
 
+def _reaches(seeds: DataFrame) -> np.ndarray:
+    """By the leading bits of a seed: the power of two that no reach of its items exceeds. 2**REACH_BITS bytes, however many seeds there are."""
+    slot = F.shiftrightunsigned("gram", 64 - REACH_BITS).alias("slot")
+    rows = seeds.groupBy(slot).agg(F.ceil(F.log2(F.max("reach") + 1)).cast("int").alias("power")).toPandas()
+    out = np.zeros(1 << REACH_BITS, dtype=np.uint8)
+    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["power"].to_numpy(dtype=np.uint8)
+    return out
+
+
 def _aligned(threshold: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.Table.from_batches([batch]).select(["doc_id", "text_hash", "at", "item_id", "seeds"])
+            rows = pa.Table.from_batches([batch]).select(["doc_id", "text_hash", "item_id", "seeds", "low"])
             array = lambda name: [np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in batch.column(name)]  # noqa: E731, B023
             items = array("item")
             score, start, end = aligned_spans(items, array("words"), match=MATCH)
@@ -84,29 +105,38 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     Words are lower-cased runs of letters and digits; positions count them,
     ends exclusive; of several copies of an item the best counts, then the
-    first. Null, empty and wordless texts hold nothing, and such items are
-    held by none. Items of fewer than n words are only matched against texts
-    that consist of nothing else. Items of equal id are told apart by their texts until the
-    end. Repeated rows give one result row; rows of equal id, null too, are
-    told apart by their text_hash. Other columns are ignored; empty tables
-    give an empty result.
+    first; seeds counts those of the stretch that was aligned. Null, empty and
+    wordless texts hold nothing, and such items are held by none. Texts and
+    items of any length are taken whole. Items of fewer than n words are only
+    matched against texts that consist of nothing else. Items of equal id are
+    told apart by their texts until the end. Repeated rows give one result row;
+    rows of equal id, null too, are told apart by their text_hash. Other columns
+    of either table are ignored, whatever their names; empty tables give an
+    empty result.
     """
     sc = docs.sparkSession.sparkContext
     own = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).mapInArrow(_item_words(n), "item_id long, item array<long>, grams array<long>").where(F.size("item") > 0).distinct()
-    own = stored(own.withColumn("item_hash", F.xxhash64("item")), "items")
-    seeds = stored(own.select("item_id", "item_hash", F.explode("grams").alias("gram")), "seeds")
     # with match 2 and gap -1, an alignment that counts has put in at most 2 (1 - threshold) words for each word of the item
-    reach = ceil((3 - 2 * threshold) * (own.agg(F.max(F.size("item"))).first()[0] or 0))
+    reach = F.ceil(F.lit(3 - 2 * threshold) * F.size("item")).cast("long")
+    own = stored(own.select("item_id", "item", "grams", reach.alias("reach"), F.monotonically_increasing_id().alias("item_no")), "items")
+    seeds = stored(own.select("item_no", "item_id", "reach", F.explode("grams").alias("gram")), "seeds")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    seen = sc.broadcast(bitmap(seeds.select("gram").distinct(), "gram", SPARSE))  # 32 MB at most
-    windows = stored(texts.mapInArrow(_windows(seen, n, reach), "doc_id long, text_hash long, at long, words array<long>, grams array<long>"), "windows")
-    hits = windows.select("doc_id", "text_hash", "at", "words", F.explode("grams").alias("gram")).join(seeds, "gram")
-    pairs = hits.groupBy("doc_id", "text_hash", "at", "item_id", "item_hash").agg(F.count("*").alias("seeds"), F.first("words").alias("words"))
-    # null ids of items join too
-    held = own.select(F.col("item_id").alias("own_id"), F.col("item_hash").alias("own_hash"), "item")
-    pairs = pairs.join(held, (F.col("item_hash") == F.col("own_hash")) & F.col("item_id").eqNullSafe(F.col("own_id")))
-    pairs = pairs.select("doc_id", "text_hash", "at", "item_id", "seeds", "words", "item")
-    schema = "doc_id long, text_hash long, at long, item_id long, seeds long, score double, start_word long, end_word long"
-    found = pairs.mapInArrow(_aligned(threshold), schema).withColumns({c: F.col(c) + F.col("at") for c in ("start_word", "end_word")})
+    seen = sc.broadcast((bitmap(seeds.select("gram").distinct(), "gram", SPARSE), _reaches(seeds)))  # 33 MB at most
+    windows = texts.mapInArrow(_windows(seen, n), "doc_id long, text_hash long, at long, words array<long>, places array<long>, grams array<long>")
+    windows = stored(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
+    # only places and seeds are multiplied, never words
+    hits = windows.select("window", F.explode(F.arrays_zip("places", "grams")).alias("hit")).select("window", "hit.places", "hit.grams")
+    hits = hits.join(seeds.select(F.col("gram").alias("grams"), "item_no", "reach"), "grams").select("window", "item_no", "reach", F.col("places").alias("place"))
+    # stretches of an item's seeds that reach each other
+    run = Window.partitionBy("window", "item_no").orderBy("place")
+    fresh = F.coalesce(F.col("place") - F.lag("place").over(run) > 2 * F.col("reach") + n, F.lit(False)).cast("int")
+    hits = hits.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    stretches = hits.groupBy("window", "item_no", "stretch").agg(F.count("*").alias("seeds"), (F.min("place") - F.first("reach")).alias("first"), (F.max("place") + F.first("reach") + n).alias("last"))
+    cut = F.greatest(F.col("first"), F.col("at")).alias("low")
+    near = stretches.join(windows.select("window", "doc_id", "text_hash", "at", "words"), "window").select("item_no", "doc_id", "text_hash", "seeds", "at", "words", "last", cut)
+    near = near.select("item_no", "doc_id", "text_hash", "seeds", "low", F.slice("words", (F.col("low") - F.col("at") + 1).cast("int"), (F.col("last") - F.col("low")).cast("int")).alias("words"))
+    pairs = near.join(own.select("item_no", "item_id", "item"), "item_no").select("doc_id", "text_hash", "low", "item_id", "seeds", "words", "item")
+    schema = "doc_id long, text_hash long, item_id long, seeds long, low long, score double, start_word long, end_word long"
+    found = pairs.mapInArrow(_aligned(threshold), schema).withColumns({c: F.col(c) + F.col("low") for c in ("start_word", "end_word")})
     best = F.max_by(F.struct("score", "start_word", "end_word", "seeds"), F.struct("score", -F.col("start_word"))).alias("best")
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "item_id", "best.*", "text_hash")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm.decontamination import contaminated
 from millrace.llm.wordhash import aligned_spans, text_hashes, word_hashes, words_of
@@ -84,6 +85,42 @@ def test_edited_and_partial_copies_in_most_documents_are_found(docs, spark, item
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(n, 1 - n % 2) for n in range(200)]
 
 
+def test_agrees_with_alignment_of_all_pairs(docs, spark):
+    """Small alphabet, so that chance hits, ties and near misses abound; one long item among short ones."""
+    rng = random.Random(8)
+    letters = [f"q{i}" for i in range(14)]
+    bench = [(i, " ".join(rng.choice(letters) for _ in range(rng.choice([4, 7, 12])))) for i in range(12)]
+    bench += [(12, bench[3][1]), (3, bench[5][1]), (None, bench[6][1]), (13, " ".join(rng.choice(letters) for _ in range(150)))]
+    rows = []
+    for n in range(90):
+        text = " ".join(rng.choice([*letters, "of", "the"]) for _ in range(rng.randint(0, 60)))
+        if n % 2:
+            text += " " + edited(rng, rng.choice(bench)[1], rng.choice([0, 0.2, 0.4]))
+        rows.append((n, text))
+    want = {}
+    for d, text in rows:
+        words = words_of(text)
+        for i, item in bench:
+            own = words_of(item)
+            shared = {tuple(words[k : k + 3]) for k in range(len(words) - 2)} & {tuple(own[k : k + 3]) for k in range(len(own) - 2)}
+            score = slow_score(own, words) / (2 * len(own))
+            if shared and score >= 0.5:
+                want[d, i] = max(score, want.get((d, i), 0))
+    got = contaminated(docs(rows), spark.createDataFrame(bench, "item_id long, text string").withColumns({c: F.lit("x") for c in ("doc_id", "reach", "gram", "window", "place")}))
+    found = {(r.doc_id, r.item_id): r.score for r in got.collect()}
+    assert found == pytest.approx(want) and len(want) > 40
+
+
+def test_a_dump_of_many_items_in_one_document(docs, spark):
+    """3,000 items in one text: hits are multiplied, its words are not."""
+    rng = random.Random(11)
+    bench = [(i, " ".join(f"q{rng.randint(0, 30_000)}" for _ in range(25))) for i in range(3000)]
+    dump = " ".join(t for _, t in bench)
+    got = contaminated(docs([(1, dump), (2, "clean text of no item")]), spark.createDataFrame([*bench, (9000, " ".join(f"z{i}" for i in range(4000)))], "item_id long, text string"))
+    rows = got.collect()
+    assert sorted(r.item_id for r in rows) == list(range(3000)) and all(r.doc_id == 1 and r.score == 1.0 for r in rows)
+
+
 def test_insertions_beyond_the_items_length_stay_in_the_window(docs, spark):
     item = [f"q{i}" for i in range(40)]
     copy = [w for i, w in enumerate(item) for w in ([w] if i < 3 else ["zz", w])]
