@@ -31,12 +31,20 @@ from millrace.llm.components import connected_components
 from millrace.llm.shared import stored
 
 SAMPLE, BLOCK, RECALL = 20_000, 2048, 0.98
+#: Codewords of a half at most: a fifth of the sample, so that each has some vectors to stand for.
+LARGEST = SAMPLE // 5
 
 
-def _unit(rows) -> np.ndarray:
-    v = np.stack(rows).astype(np.float64) if len(rows) else np.zeros((0, 0))
-    v = v / np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-300) if len(v) else v
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) if len(v) else v
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Unit vectors, in double precision, of a column of arrays of one length."""
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    flat = np.concatenate([np.empty(0), *[c.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for c in chunks]])
+    return _unit(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v / np.maximum(np.abs(v).max(axis=1, keepdims=True), np.finfo(float).tiny)  # no square may overflow or vanish
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
 def _codebook(v: np.ndarray, k: int, rng, rounds: int = 12) -> np.ndarray:
@@ -95,19 +103,20 @@ def _matched(threshold: float, cells: int):
     """For the rows of one block (see ``link_vectors``): links (a, b) as a spanning forest and the numbers of links."""
 
     def links(table: pa.Table) -> pa.Table:
-        asks = np.array(table.column("asks").to_pylist(), dtype=bool)
+        asks = table.column("asks").to_numpy()
         cid, copies = table.column("cid").to_numpy(), table.column("copies").to_numpy()
         own = table.column("own").to_numpy()
         if not asks.any() or asks.all():
             return _rows([], [], [])
-        v = _unit(table.column("vec").to_pylist())
+        v = _matrix(table.column("vec"))
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         near = (v[q] @ v[m].T >= threshold) & (cid[q][:, None] != cid[m][None, :])
         x, y = np.nonzero(near)
         if not len(x):
             return _rows([], [], [])
-        visited = table.column("visited").to_pylist()
-        known = np.array(sorted(n * cells + c for n, i in enumerate(m) for c in visited[i]), dtype=np.int64)
+        visited = table.column("visited").take(pa.array(m))
+        sizes = np.array([len(x) for x in visited])
+        known = np.repeat(np.arange(len(m)), sizes) * cells + np.concatenate([c.flatten().to_numpy() for c in visited.chunks]).astype(np.int64)
         both = np.isin(y * cells + own[q[x]], known)  # then the other side counts for itself
         n_q = np.bincount(x, weights=copies[m[y]], minlength=len(q))
         n_m = np.bincount(y[~both], weights=copies[q[x[~both]]], minlength=len(m))
@@ -137,16 +146,17 @@ def _rows(a, b, edge) -> pa.Table:
 def link_vectors(classes: DataFrame, index: MultiIndex, threshold: float, block: int = BLOCK) -> DataFrame:
     """``classes``: cid, copies, vec. Rows (a, b, edge): edges, and for each vector a parts b of its number of links."""
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(index)  # at most 2 x 512 codewords
+    shared = spark.sparkContext.broadcast(index)  # at most 2 x LARGEST codewords
+    kind = classes.schema["vec"].dataType.simpleString()
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = shared.value.halves(_unit(batch.column(2).to_pylist()))
+                a, b = shared.value.halves(_matrix(batch.column(2)))
                 cells = [shared.value.visits(x, y) for x, y in zip(a, b, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["cid", "copies", "vec", "visited"])
 
-    placed = stored(classes.select("cid", "copies", "vec").mapInArrow(visit, "cid long, copies long, vec array<float>, visited array<int>"), "vector-cells")
+    placed = stored(classes.select("cid", "copies", "vec").mapInArrow(visit, f"cid long, copies long, vec {kind}, visited array<int>"), "vector-cells")
     placed = placed.withColumn("own", F.element_at("visited", 1))
     entries = placed.groupBy("own").agg(F.count("*").alias("entries"))
     asks = placed.select(F.explode("visited").alias("cell")).groupBy("cell").agg(F.count("*").alias("asks"))
@@ -164,22 +174,25 @@ def vector_groups(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 
     Vectors that are null, zero, or hold null or non-finite components link
-    with nothing. Shorter vectors count as padded with zeros to the longest.
+    with nothing. Floats stay floats and all other numbers become doubles;
+    cosines are taken in double precision, and one equal to the threshold is a
+    link. Shorter vectors count as padded with zeros to the longest.
     Equal vectors are linked with each other, repeated rows too. component_id
     is the smallest non-null id of the component; a row without an id is never
     kept. Other columns are ignored; an empty table gives an empty result.
     """
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    kind = "float" if table.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
     good = F.coalesce(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0), F.lit(False))
     width = rows.where(good).agg(F.max(F.size("vec"))).first()[0] or 0
-    padded = F.when(good, F.concat("vec", F.array_repeat(F.lit(0.0).cast("float"), F.lit(width) - F.size("vec"))))
+    padded = F.when(good, F.concat("vec", F.array_repeat(F.lit(0.0).cast(kind), F.lit(width) - F.size("vec"))))
     rows = rows.select("vec_id", padded.alias("vec"))
     classes = rows.where("vec is not null").groupBy("vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     if n:
         some = classes.orderBy(F.xxhash64("vec")).limit(sample).select("vec").collect()
-        index = MultiIndex(_unit([r.vec for r in some]), int(np.clip(np.sqrt(n) / 4, 2, 512)), threshold, recall)
+        index = MultiIndex(_unit(np.array([r.vec for r in some], dtype=np.float64)), int(np.clip(np.sqrt(n) / 4, 2, LARGEST)), threshold, recall)
         found = stored(link_vectors(classes, index, threshold, block), "vector-links")
     else:
         found = classes.sparkSession.createDataFrame([], "a long, b long, edge boolean")

@@ -90,3 +90,19 @@ def test_traversal_goes_by_distance():
         sums = (x[:, None] + y[None, :]).ravel()
         want = [int(c) for c in np.argsort(sums, kind="stable") if sums[c] <= sums.min() + index.slack]
         assert set(cells) == set(want) and np.all(np.diff(sums[cells]) >= 0)
+
+
+def test_doubles_beside_the_threshold(spark):
+    """Cosines that differ from 0.95 in the tenth digit, and values beyond the range of floats."""
+    at = lambda c: [c, float(np.sqrt(1 - c * c))]
+    rows = [(1, [1.0, 0.0]), (2, at(0.9500000005)), (3, [1e300, 0.0]), (4, [0.0, 1e-300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+    less = [(1, [1.0, 0.0]), (2, at(0.9499999995))]
+    assert all(r.n_links == 0 for r in vector_groups(spark.createDataFrame(less, "vec_id long, embedding array<double>")).collect())
+
+
+def test_ties_and_integers(spark):
+    rows = [(1, [1, 0]), (2, [19, int(np.sqrt(400 - 361) * 1)]), (3, [2, 0])]
+    got = {r.vec_id: r.component_id for r in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<int>")).collect()}
+    assert got[1] == got[3] == 1
