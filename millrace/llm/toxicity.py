@@ -5,6 +5,7 @@ regression over the presence of the words that tell it best (chi-squared, in
 the rows it is fitted on) and over the log odds of the categories before it.
 While fitting, those odds come from models that were fitted without the row's
 fold, so that a later model sees them as good as they will be on new texts.
+Folds go by the text, so copies of a text are in one fold.
 
 Fitting takes at most SAMPLE labelled rows, chosen by a hash of their id.
 Prediction is one scan of all texts without any shuffle.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.wordhash import text_hashes
 
-SAMPLE, FOLDS, FEATURES, LEAST_DOCS, PENALTY = 12_000, 5, 256, 8, 1.0
+SAMPLE, FOLDS, FEATURES, LEAST_DOCS, PENALTY = 12_000, 5, 512, 8, 1.0
 
 
 def _clip(p: np.ndarray) -> np.ndarray:
@@ -96,17 +97,18 @@ def _newton(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 8) -> np
 
 
 def fit_chain(docs: Sequence[np.ndarray], labels: np.ndarray, fold: np.ndarray, features: int = FEATURES, least: int = LEAST_DOCS, penalty: float = PENALTY) -> list[Linear]:
-    """One model per column of ``labels``; docs: distinct word hashes of each row, fold: its fold."""
+    """One model per column of ``labels`` (0, 1, or -1 if unknown); docs: distinct word hashes of each row, fold: its fold."""
     corpus, chain = Corpus(docs), []
     odds = np.zeros((len(docs), 0))
     for c in range(labels.shape[1]):
         y = labels[:, c].astype(float)
-        model, _ = corpus.fit(y, odds, np.ones(len(docs), bool), features, least, penalty)
+        known = y >= 0  # what isn't labelled in this category teaches nothing here, but has odds for the next
+        model, _ = corpus.fit(y, odds, known, features, least, penalty)
         chain.append(model)
         if c + 1 < labels.shape[1]:
             out = np.zeros(len(docs))
             for f in np.unique(fold):
-                _, p = corpus.fit(y, odds, fold != f, features, least, penalty)
+                _, p = corpus.fit(y, odds, known & (fold != f), features, least, penalty)
                 out[fold == f] = p[fold == f]
             odds = np.c_[odds, _odds(out)]
     return chain
@@ -129,32 +131,36 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, folds: int = FOLDS, **options) -> list[Linear]:
     """Fit a chain. ``categories``: name and SQL expression over ``labels`` (0 or 1), in the chain's order.
 
-    Labels that are null in any category, labels without a document and null
-    ids teach nothing. With no labelled row at all, every probability is 0.5.
+    A label that is null in a category teaches nothing about that category;
+    labels without a document and null ids teach nothing. Of several documents
+    of one id one counts. With no labelled row at all, every probability is 0.5.
     """
     names = list(categories)
-    rows = labels.select(F.col(id_col).cast("long").alias("id"), *[F.expr(e).cast("int").alias(f"y{i}") for i, e in enumerate(categories.values())]).dropna()
-    rows = rows.orderBy(F.xxhash64("id"), *[f"y{i}" for i in range(len(names))]).limit(sample)
+    ys = [f"y{i}" for i in range(len(names))]
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), *[F.expr(e).cast("int").alias(y) for y, e in zip(ys, categories.values())])
+    rows = rows.dropna(subset=["id"]).dropna(how="all", subset=ys).na.fill(-1, ys)
+    rows = rows.orderBy(F.xxhash64("id"), *ys).limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # at most ``sample`` rows of a few numbers
-    joined = texts.join(F.broadcast(rows), "id").select("id", *[f"y{i}" for i in range(len(names))], "text")
-    schema = "id long, " + "".join(f"y{i} int, " for i in range(len(names))) + "text array<long>"
-    got = joined.mapInArrow(_distinct_words, schema).toArrow().sort_by([("id", "ascending")])
+    joined = texts.join(F.broadcast(rows), "id").groupBy("id", *ys).agg(F.max("text").alias("text")).select("id", *ys, F.xxhash64("text").alias("h"), "text")
+    schema = "id long, " + "".join(f"{y} int, " for y in ys) + "h long, text array<long>"
+    got = joined.mapInArrow(_distinct_words, schema).toArrow().sort_by([(c, "ascending") for c in ("id", *ys)])
     if not got.num_rows:
         return [Linear(np.empty(0, np.uint64), np.zeros(n + 1)) for n in range(len(names))]
     hashes = [np.asarray(x.values, dtype=np.int64).view(np.uint64) for x in got.column("text")]
-    ids = got.column("id").to_numpy().astype(np.uint64)
-    fold = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(folds)
-    y = np.stack([got.column(f"y{i}").to_numpy() for i in range(len(names))], axis=1)
+    fold = (got.column("h").to_numpy().astype(np.uint64) >> np.uint64(40)) % np.uint64(folds)
+    y = np.stack([got.column(c).to_numpy() for c in ys], axis=1)
     return fit_chain(hashes, y, fold.astype(int), **options)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.4, **options) -> DataFrame:
     """One row per row of ``docs``: doc_id, p_<category> for each, and <category> (probability at least ``threshold``).
 
-    Null, empty and wordless texts get the probabilities of a text without any
-    telling word. Null ids and repeated rows keep their rows; other columns
-    are ignored; an empty table gives an empty result.
+    A probability that equals the threshold counts. Null, empty and wordless texts get the probabilities of a text without any
+    telling word; texts of any length are read whole. Null ids and repeated
+    rows keep their rows; other columns are ignored, whatever their names, but
+    for those of ``labels`` that ``categories`` names; an empty table gives an
+    empty result.
     """
     chain = learn(docs, labels, categories, id_col, text_col, **options)
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few hundred weights

@@ -66,3 +66,23 @@ def test_little_or_nothing_to_learn(docs, spark, labels):
     got = toxicity(docs([(1, "a b"), (2, None)]), df, CATEGORIES).collect()
     assert len(got) == 2 and all(0 <= r.p_rude <= 1 for r in got)
     assert toxicity(docs([]), df, CATEGORIES).count() == 0
+
+
+def test_copies_share_a_fold_and_unknown_labels_teach_the_rest(docs, clash, spark):
+    rows = corpus(900, seed=5)
+    copies = [(10_000 + i, t, r, h) for i, t, r, h in rows[:300]]
+    given = [(i, r if i % 3 else None, t) for i, _, r, t in rows + copies]
+    labels = clash(spark.createDataFrame(given, "doc_id long, rude int, threat int"))
+    got = {r.doc_id: r for r in toxicity(clash(docs([(i, t) for i, t, _, _ in rows + copies])), labels, CATEGORIES, threshold=0.5).collect()}
+    assert np.mean([got[i].threat == bool(t) for i, _, _, t in rows]) >= 0.95
+    assert np.mean([got[i].rude == bool(r) for i, _, r, _ in rows]) >= 0.95
+
+
+def test_unknown_labels_are_left_out_of_one_fit():
+    docs = [np.array([i % 4], dtype=np.uint64) for i in range(80)]
+    y = np.array([[i % 2, (i % 4) // 2] for i in range(80)])
+    gaps = y.copy()
+    gaps[::5, 0] = -1
+    whole, some = fit_chain(docs, y, np.arange(80) % 5, least=1), fit_chain(docs, gaps, np.arange(80) % 5, least=1)
+    for d in docs[:4]:
+        assert np.allclose(np.round(predict_chain(whole, d)), np.round(predict_chain(some, d)))
