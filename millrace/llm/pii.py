@@ -11,8 +11,13 @@ where n(e, t) counts the texts in which t stands within WINDOW words of e, be
 they far off or parts of other entities (words are runs of letters). If
 PMI reaches RISK times IC, t discloses e, and t is a span wherever it occurs
 in a text that holds e. It is removed if it discloses e fully (PMI = IC), else
-generalised. Entities and pairs seen in fewer than SUPPORT texts are left
-alone, since nothing can be estimated from them.
+generalised: a capitalised word to [NAME], any other to [WORD].
+
+Nothing can be estimated from fewer than SUPPORT texts. An entity that fewer
+hold is counted with those that are rare like it and of its class: an e-mail
+address by its domain, an IP address by its first three parts, a card by its
+first six digits, a phone number by its first four. Classes and pairs that are
+still rarer than SUPPORT are left alone.
 
 Pairs are only counted within windows, so a text with many entities gives rows
 in proportion to its length. The patterns cannot backtrack over long runs:
@@ -162,10 +167,30 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("doc_id", F.md5("text").alias("digest"), F.concat(*spans).alias("base"), mentions.alias("mentions"))
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, risk: float = RISK) -> DataFrame:
-    """(entity, term, action) of all pairs whose PMI reaches ``risk`` times the entity's information content."""
-    total = found.agg(F.count_distinct("digest").alias("total"))
+def _class(entity: Column) -> Column:
+    """What an entity is counted with if it is too rare by itself. No entity has such a name."""
+    return (
+        F.when(F.startswith(entity, F.lit("email:")), F.concat(F.lit("email:@"), F.substring_index(entity, "@", -1)))
+        .when(F.startswith(entity, F.lit("ip:")), F.regexp_replace(entity, r"[0-9]+$", "*"))
+        .when(F.startswith(entity, F.lit("card:")), F.concat(F.substring(entity, 1, len("card:") + 6), F.lit("*")))
+        .otherwise(F.concat(F.substring(entity, 1, len("phone:") + 4), F.lit("*")))
+    )
+
+
+def counted_mentions(found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(digest, entity, terms) of all mentions; rare entities by their class."""
     mentioned = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions").alias("m")).select("digest", "m.entity", "m.terms")
+    texts = mentioned.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    # only rare ones are joined, so that an entity of many texts is no hot group of an aggregate
+    rare = stored(texts.where(F.col("n_e") < support).select("entity", _class(F.col("entity")).alias("class")), "pii-rare")
+    return mentioned.join(rare, "entity", "left").select("digest", F.coalesce("class", "entity").alias("entity"), "terms")
+
+
+def disclosing_terms(mentioned: DataFrame, total: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, risk: float = RISK) -> DataFrame:
+    """(entity, term, action) of all pairs whose PMI reaches ``risk`` times the entity's information content.
+
+    ``mentioned``: see ``counted_mentions``; ``total``: one row, the number of distinct texts.
+    """
     # a text counts once however often it is copied
     entities = mentioned.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     entities = entities.crossJoin(F.broadcast(total)).withColumn("ic", F.log2("total") - F.log2("n_e")).where("ic > 0")  # one row
@@ -188,12 +213,16 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Positions are code points, ends exclusive; spans are base spans by kind in
     the order of KINDS, then start, with the terms last. Null texts are empty;
-    null ids and repeated rows keep their rows. Other columns are ignored; an
-    empty table gives an empty result.
+    null ids and repeated rows keep their rows, and copies of a text count
+    once; texts of any length are read whole. A PMI that equals the bound
+    counts. Other columns are ignored, whatever their names; an empty table
+    gives an empty result.
     """
     found = stored(base_spans(docs, id_col, text_col), "pii-base")
-    terms = stored(disclosing_terms(found, docs, text_col, support, risk), "pii-terms")
-    held = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions.entity").alias("entity")).distinct()
+    mentioned = stored(counted_mentions(found, support), "pii-mentions")
+    total = found.agg(F.count_distinct("digest").alias("total"))
+    terms = stored(disclosing_terms(mentioned, total, docs, text_col, support, risk), "pii-terms")
+    held = mentioned.select("digest", "entity").distinct()
     # the strongest action that any entity of the text asks for
     marked = held.join(terms, "entity").groupBy("digest", "term").agg(F.max(F.col("action") == "remove").alias("gone")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("terms"))
     marked = stored(marked, "pii-marked")  # so that its size is known before texts would be shuffled to it
@@ -214,7 +243,7 @@ def span_digests(spans: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): base spans and generalised terms replaced by their kind in brackets, removed terms left out.
+    """(doc_id, text): base spans replaced by their kind in brackets, generalised terms by [NAME] or [WORD], removed terms left out.
 
     Where spans overlap, the one that starts first (then the longer) counts.
     """
@@ -225,7 +254,9 @@ def sanitised(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     order = F.array_sort(F.transform(F.coalesce("spans", F.array().cast(_SPAN)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("upto"), s["kind"].alias("kind"), s["action"].alias("action"))))
 
     def step(state: Column, s: Column) -> Column:
-        label = F.when(s["action"] == "remove", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        own = F.substring(F.col("text"), (s["start"] + 1).cast("int"), F.lit(1))
+        general = F.when(F.regexp_like(own, F.lit(r"\p{Lu}")), "[NAME]").otherwise("[WORD]")
+        label = F.when(s["action"] == "remove", "").when(s["action"] == "generalise", general).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         ahead = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         return F.when(s["start"] >= state["at"], F.struct(F.concat(state["out"], ahead, label).alias("out"), (-s["upto"]).alias("at"))).otherwise(state)
 

@@ -6,8 +6,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm.pii import KINDS, disclosing_terms, base_spans, find_spans, sanitised, span_digests
+from millrace.llm.pii import KINDS, base_spans, counted_mentions, disclosing_terms, find_spans, sanitised, span_digests
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -76,32 +77,72 @@ def corpus():
     return rows
 
 
-def test_terms_agree_with_the_formula(docs):
-    """Brute force over windows of ten words and distinct texts."""
-    rows = corpus()
-    texts = sorted(set(rows))
-    df = docs(list(enumerate(rows + rows[:3])))
-    got = {(r.entity, r.term) for r in disclosing_terms(base_spans(df), df).collect()}
-    windows: dict[tuple[str, str], set] = {}
-    entities: dict[str, set] = {}
+def group_of(name):
+    kind, value = name.split(":", 1)
+    return {"email": lambda: f"email:@{value.split('@')[1]}", "ip": lambda: f"ip:{value.rsplit('.', 1)[0]}.*", "card": lambda: f"card:{value[:6]}*", "phone": lambda: f"phone:{value[:4]}*"}[kind]()
+
+
+def slow_terms(texts):
+    """Distinct texts: mentions (entity, term) and their texts; disclosing pairs, with rare entities by their class."""
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    alone, near = {}, {}
     for t in texts:
         for kind, s, e in base(t):
-            name = f"{kind}:{t[s:e].lower()}"
-            entities.setdefault(name, set()).add(t)
-            near = re.findall(r"[^\W\d_]+", t[:s].lower())[-10:] + re.findall(r"[^\W\d_]+", t[e:].lower())[:10]
-            for w in near:
+            name = f"{kind}:{t[s:e].lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', t[s:e])}"
+            alone.setdefault(name, set()).add(t)
+            for w in words(t[:s])[-10:] + words(t[e:])[:10]:
                 if len(w) >= 3:
-                    windows.setdefault((name, w), set()).add(t)
-    want = set()
-    for (name, w), held in windows.items():
-        n_e, n_et = len(entities[name]), len(held)
-        n_t = sum(w in re.findall(r"[^\W\d_]+", t.lower()) for t in texts)
-        ic = -math.log2(n_e / len(texts))
-        if n_e >= 3 and n_et >= 3 and math.log2(n_et / n_t) >= -0.1 * ic and ic > 0:
-            want.add((name, w))
+                    near.setdefault((name, w), set()).add(t)
+    key = {n: n if len(held) >= 3 else group_of(n) for n, held in alone.items()}
+    held, pairs, want = {}, {}, set()
+    for n, some in alone.items():
+        held.setdefault(key[n], set()).update(some)
+    for (n, w), some in near.items():
+        pairs.setdefault((key[n], w), set()).update(some)
+    for (n, w), some in pairs.items():
+        ic, n_t = -math.log2(len(held[n]) / len(texts)), sum(w in words(t) for t in texts)
+        # a word cut by an entity may be none of the text's
+        if len(held[n]) >= 3 and len(some) >= 3 and n_t and ic > 0 and math.log2(len(some) / n_t) >= -0.1 * ic:
+            want.add((n, w))
+    return near, want
+
+
+def own_terms(df):
+    found = base_spans(df)
+    return {(r.entity, r.term) for r in disclosing_terms(counted_mentions(found), found.agg(F.count_distinct("digest").alias("total")), df).collect()}
+
+
+def test_terms_agree_with_the_formula(docs):
+    """Brute force over windows of ten words and distinct texts."""
+    rows = corpus()
+    _, want = slow_terms(sorted(set(rows)))
+    got = own_terms(docs(list(enumerate(rows + rows[:3]))))
     assert got == want and ("email:boss@corp.example", "zorbax") in got
 
 
+def test_rare_entities_are_counted_by_class(docs):
+    rng = random.Random(12)
+    fill = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    texts = [f"{fill(6)} Clinic Weiss asks user{i}@weiss.example to call +4930{i}11223 {fill(4)}" for i in range(5)]
+    texts += [f"{fill(5)} server 10.1.2.{i} Kronos {fill(3)} card 437154943864590{i} {fill(2)}" for i in range(9)] + [f"{fill(12)} {i}" for i in range(60)]
+    df = docs([*enumerate(texts), (900, texts[0])])
+    got = own_terms(df)
+    assert got == slow_terms(sorted(set(texts)))[1]
+    assert {("email:@weiss.example", "weiss"), ("ip:10.1.2.*", "kronos"), ("phone:4930*", "clinic")} <= got
+    shown_ = {r.doc_id: r.spans for r in span_digests(find_spans(df)).collect()}
+    at = texts[2].index("Weiss")
+    assert f"term:{at}:{at + 5}" in shown_[2]
+
+
+def test_generalised_terms_name_their_class_and_overlaps_go_once(docs, spark):
+    text = "Anna and bob met a@b.example"
+    df = docs([(1, text)])
+    span = "array<struct<kind:string,start:long,end:long,action:string>>"
+    rows = [("email", 17, 28, "mask"), ("term", 0, 4, "generalise"), ("term", 9, 12, "generalise"), ("term", 9, 10, "remove"), ("term", 13, 16, "remove"), ("term", 19, 20, "generalise")]
+    spans = spark.createDataFrame([(1, rows)], f"doc_id long, spans {span}").crossJoin(df.select(F.md5("text").alias("digest")))
+    assert sanitised(df, spans).first().text == "[NAME] and [WORD]  [EMAIL]"
+
+
 def test_windows_go_past_numbers_entities_and_gaps(docs):
     """Brute force as above, over texts with numbers, lists of entities and words far apart."""
     rng = random.Random(7)
@@ -112,24 +153,11 @@ def test_windows_go_past_numbers_entities_and_gaps(docs):
     texts += [f"{fill(i)} \u00e9Ugo@cut.example\u00fcbrig 10.9.8.7 {'1 ' * 300}" for i in range(4)] + ["+4912345679", "10.0.0.1 " * 400] + [fill(30) for _ in range(60)]
     texts += [" ".join(rng.choice(["Vera", "a@b.example", "10.0.0.1", "+4912345678", "4371549438645904", "99", "ab", "Walt", "(", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(40)]
     texts = sorted(set(texts))
-    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
-    held, near = {}, {}
-    for t in texts:
-        for kind, s, e in base(t):
-            name = f"{kind}:{t[s:e].lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', t[s:e])}"
-            held.setdefault(name, set()).add(t)
-            for w in words(t[:s])[-10:] + words(t[e:])[:10]:
-                if len(w) >= 3:
-                    near.setdefault((name, w), set()).add(t)
-    want = set()
-    for (name, w), found in near.items():
-        ic, n_t = -math.log2(len(held[name]) / len(texts)), sum(w in words(t) for t in texts)
-        if len(found) >= 3 and n_t and math.log2(len(found) / n_t) >= -0.1 * ic:  # a word cut by an entity may be none of the text's
-            want.add((name, w))
+    near, want = slow_terms(texts)
     df = docs(list(enumerate(texts)))
     rows = base_spans(df).collect()
     assert {(m.entity, w, texts[r.doc_id]) for r in rows for m in r.mentions for w in m.terms} == {(*k, t) for k, found in near.items() for t in found}
-    assert {(r.entity, r.term) for r in disclosing_terms(base_spans(df), df).collect()} == want
+    assert own_terms(df) == want
     assert {("card:4371549438645904", "zorbax"), ("email:far@off.example", "farlow"), ("email:far@off.example", "yonder"), ("phone:4912345671", "petra"), ("email:ugo@cut.example", "\u00fcbrig")} <= set(near)
     assert {("email:far@off.example", "farlow"), ("phone:4912345671", "olga")} <= want
 
