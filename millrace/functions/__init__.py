@@ -1,8 +1,8 @@
-"""Column functions, all within Spark's own expressions."""
+"""Column functions: Spark's own expressions, and a few vectorised Python ones at the end."""
 
-from __future__ import annotations
-
-from pyspark.sql import Column
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,10 +17,40 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def exact_sum(value: Column, scale: int = 2) -> Column:
-    """Sum through decimals: the same bits whatever the order of the rows."""
+    """Sum through decimals: the same bits whatever the order of the rows. Each value is first rounded to ``scale`` digits."""
     return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
 
 
 def naive(timestamp: Column) -> Column:
     """A timestamp without a zone."""
     return timestamp.cast("timestamp_ntz")
+
+
+def initials(text: Column) -> Column:
+    """First letters of the blank-separated words, by a vectorised Python function; null stays null."""
+
+    def take(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else "".join(w[0] for w in t.split(" ") if w) for t in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(take, "string")(text)
+
+
+def spread(value: Column) -> Column:
+    """Largest less smallest value of a group, by a vectorised Python aggregate; null for none. A group's values are in one task."""
+
+    def width(values: pd.Series) -> float:
+        return float(values.max() - values.min())
+
+    return F.pandas_udf(width, "double")(value)
+
+
+def register_divisors(spark: SparkSession, name: str = "divisors") -> None:
+    """A table function in SQL: a row (n) for every divisor of its argument."""
+
+    class Divisors:
+        def eval(self, number: int):
+            for n in range(1, (number or 0) + 1):
+                if number % n == 0:
+                    yield (n,)
+
+    spark.udtf.register(name, F.udtf(Divisors, returnType="n int"))

@@ -12,16 +12,18 @@ def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, value_cols:
     Both sides go through one sort by (by, at) and a running last value: one
     shuffle, no pairs, linear in the rows of a key. At equal times right rows
     come first, of several the last by their values. Null keys and times match
-    nothing. Left rows without a match get nulls.
+    nothing and don't go through the sort, however many there are. Left rows
+    without a match get nulls.
     """
     slot = F.struct(*value_cols)
     marked = left.withColumn("__left", F.lit(True)).withColumn("__value", F.lit(None).cast(right.select(slot.alias("v")).schema["v"].dataType))
     extra = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (by, at) else F.col(f.name) for f in left.schema]
-    feed = right.where(F.col(at).isNotNull()).select(*extra, F.lit(False).alias("__left"), slot.alias("__value"))
+    sorted_, plain = F.col(by).isNotNull() & F.col(at).isNotNull(), F.col(by).isNull() | F.col(at).isNull()
+    feed = right.where(sorted_).select(*extra, F.lit(False).alias("__left"), slot.alias("__value"))
     order = Window.partitionBy(by).orderBy(at, F.col("__left"), "__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.last("__value", ignorenulls=True).over(order)
-    known = F.when(F.col(by).isNotNull() & F.col(at).isNotNull(), known)
-    return marked.union(feed).withColumn("__known", known).where("__left").select(*left.columns, *[F.col(f"__known.{c}").alias(f"{prefix}{c}") for c in value_cols])
+    rest = marked.where(plain).withColumn("__known", F.col("__value"))
+    return marked.where(sorted_).union(feed).withColumn("__known", known).where("__left").union(rest).select(*left.columns, *[F.col(f"__known.{c}").alias(f"{prefix}{c}") for c in value_cols])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
@@ -35,6 +37,24 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return points.withColumn("__b", bucket(at)).join(cut, "__b").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__b")
 
 
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
+    """Pairs that meet any condition. ``right`` is counted and broadcast; if it has over ``most`` rows, in parts of about that size.
+
+    The work is that of all comparisons, so an equality or a range belongs into
+    a join of its own (``range_join``). Nulls match as the condition says.
+    """
+    rows = right.count()
+    parts = -(-rows // most) if rows > most else 1
+    if parts == 1:
+        return left.join(F.broadcast(right), condition)
+    part = F.pmod(F.xxhash64(*right.columns), F.lit(parts))
+    found = [left.join(F.broadcast(right.where(part == i)), condition) for i in range(parts)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group; Spark limits each group before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions import dot, exact_sum, naive
-from millrace.operators import as_of_join, range_join, sessions, top_per_group
+from millrace import streaming
+from millrace.functions import dot, exact_sum, initials, naive, register_divisors, spread
+from millrace.operators import as_of_join, range_join, sessions, theta_join, top_per_group
+from millrace.scratch import scratch_path
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -164,11 +168,12 @@ def distinct_and_filtered(spark, sf_dir):
 
 @query("""
 SELECT p_brand, round(stddev_samp(p_size), 6) AS sd, round(var_pop(p_size), 6) AS var, median(p_size) AS mid,
-round(quantile_cont(p_retailprice, 0.9), 6) AS p90 FROM part GROUP BY 1
+round(quantile_cont(p_retailprice, 0.9), 6) AS p90, round(corr(p_size, p_retailprice), 6) AS r FROM part GROUP BY 1
 """)
 def statistics(spark, sf_dir):
     return _t(spark, sf_dir, "part").groupBy("p_brand").agg(
-        F.round(F.stddev_samp("p_size"), 6).alias("sd"), F.round(F.var_pop("p_size"), 6).alias("var"), F.median("p_size").alias("mid"), F.round(F.percentile("p_retailprice", F.lit(0.9)), 6).alias("p90")
+        F.round(F.stddev_samp("p_size"), 6).alias("sd"), F.round(F.var_pop("p_size"), 6).alias("var"), F.median("p_size").alias("mid"), F.round(F.percentile("p_retailprice", F.lit(0.9)), 6).alias("p90"),
+        F.round(F.corr("p_size", "p_retailprice"), 6).alias("r"),
     )
 
 
@@ -177,9 +182,8 @@ SELECT o_orderpriority, max_by(o_orderkey, (o_totalprice, o_orderkey)) AS top_or
 CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS "F", CAST(count(*) FILTER (WHERE o_orderstatus = 'O') AS BIGINT) AS "O" FROM orders GROUP BY 1
 """)
 def arg_max_and_pivot(spark, sf_dir):
-    g = _t(spark, sf_dir, "orders").groupBy("o_orderpriority")
-    top = g.agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top_order"))
-    return top.join(g.pivot("o_orderstatus", ["F", "O"]).count().na.fill(0), "o_orderpriority")
+    top = F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("top_order")
+    return _t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(top, *[F.count_if(F.col("o_orderstatus") == k).alias(k) for k in ("F", "O")])
 
 
 @query("""
@@ -199,12 +203,11 @@ CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DA
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 """)
 def offsets_and_frames(spark, sf_dir):
-    _t(spark, sf_dir, "events").createOrReplaceTempView("millrace_events")
     return spark.sql("""
         SELECT event_id, lag(value, 1, 0.0D) OVER w AS before, lead(event_id) OVER w AS next_id, first_value(event_type) OVER w AS first_type,
         count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS last3,
         count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS day_n
-        FROM millrace_events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+        FROM {e} WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""", e=_t(spark, sf_dir, "events"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
@@ -237,21 +240,22 @@ def recursive(spark, sf_dir):
 
 @query("""
 SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, date_trunc('hour', ts) AS hour, CAST(dayofweek(ts) AS INTEGER) AS dow,
-CAST(quarter(ts) AS INTEGER) AS quarter, CAST(week(ts) AS INTEGER) AS week FROM events
+CAST(quarter(ts) AS INTEGER) AS quarter, CAST(week(ts) AS INTEGER) AS week, CAST(year(ts) AS INTEGER) AS year, CAST(dayofyear(ts) AS INTEGER) AS doy,
+CAST(date_diff('day', TIMESTAMP '2023-12-25', ts) AS INTEGER) AS since FROM events
 """)
 def json_and_dates(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
-    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), naive(F.date_trunc("hour", "ts")).alias("hour"), (F.dayofweek("ts") - 1).alias("dow"), F.quarter("ts").alias("quarter"), F.weekofyear("ts").alias("week"))
+    return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), naive(F.date_trunc("hour", "ts")).alias("hour"), (F.dayofweek("ts") - 1).alias("dow"), F.quarter("ts").alias("quarter"), F.weekofyear("ts").alias("week"), F.year("ts").alias("year"), F.dayofyear("ts").alias("doy"), F.datediff("ts", F.lit("2023-12-25").cast("date")).alias("since"))
 
 
 @query(r"""
-SELECT doc_id, lower(substring(text, 1, 40)) AS head, md5(text) AS digest, CAST(length(text) AS INTEGER) AS n, reverse(source) AS back, lpad(source, 8, '*') AS padded,
-regexp_replace(substring(text, 1, 200), '[aeiou]+', '_', 'g') AS masked, CAST(instr(text, 'the') AS INTEGER) AS at FROM documents
+SELECT doc_id, md5(lower(text)) AS low, md5(text) AS digest, CAST(length(text) AS INTEGER) AS n, substring(text, 3, 5) AS part, reverse(source) AS back, lpad(source, 8, '*') AS padded, upper(source) AS loud,
+md5(regexp_replace(text, '[aeiou]+', '_', 'g')) AS masked, CAST(instr(text, 'the') AS INTEGER) AS at, CAST(len(string_split(text, ' ')) AS INTEGER) AS pieces FROM documents
 """)
 def string_functions(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select(
-        "doc_id", F.lower(F.substring("text", 1, 40)).alias("head"), F.md5("text").alias("digest"), F.length("text").alias("n"), F.reverse("source").alias("back"), F.lpad("source", 8, "*").alias("padded"),
-        F.regexp_replace(F.substring("text", 1, 200), "[aeiou]+", "_").alias("masked"), F.instr("text", "the").alias("at"),
+        "doc_id", F.md5(F.lower("text")).alias("low"), F.md5("text").alias("digest"), F.length("text").alias("n"), F.substring("text", 3, 5).alias("part"), F.reverse("source").alias("back"), F.lpad("source", 8, "*").alias("padded"),
+        F.upper("source").alias("loud"), F.md5(F.regexp_replace("text", "[aeiou]+", "_")).alias("masked"), F.instr("text", "the").alias("at"), F.size(F.split("text", " ", -1)).alias("pieces"),
     )
 
 
@@ -287,6 +291,112 @@ def session_windows(spark, sf_dir):
     return sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
 
 
+@query("""
+SELECT start, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT time_bucket(INTERVAL 1 HOUR, ts) - i * INTERVAL 1 HOUR AS start FROM events, (SELECT unnest(range(2)) AS i)) GROUP BY 1
+""")
+def sliding_windows(spark, sf_dir):
+    """Two hours wide, every hour; each event is in two, summed map-side."""
+    w = _t(spark, sf_dir, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n"))
+    return w.select(naive(F.col("w.start")).alias("start"), "n")
+
+
+@query("SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1")
+def exploded_words(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ", -1)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_nationkey, string_agg(CAST(c_custkey AS VARCHAR), '|' ORDER BY c_acctbal, c_custkey) AS customers FROM customer GROUP BY 1")
+def listed_strings(spark, sf_dir):
+    return spark.sql("SELECT c_nationkey, listagg(cast(c_custkey AS string), '|') WITHIN GROUP (ORDER BY c_acctbal, c_custkey) AS customers FROM {c} GROUP BY 1", c=_t(spark, sf_dir, "customer"))
+
+
+@query("""
+SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey <> n_nationkey AND s_acctbal > 400 * n_nationkey AND s_suppkey % 25 >= n_nationkey
+""")
+def inequality_join(spark, sf_dir):
+    """Any condition, against a side that is counted before it is broadcast."""
+    s, n = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "nation")
+    return theta_join(s, n, (s.s_nationkey != n.n_nationkey) & (s.s_acctbal > 400 * n.n_nationkey) & (s.s_suppkey % 25 >= n.n_nationkey)).select("s_suppkey", "n_nationkey")
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1]), '') AS letters FROM part")
+def vectorised_function(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", initials(F.col("p_name")).alias("letters"))
+
+
+@query("SELECT user_id, max(value) - min(value) AS width FROM events GROUP BY 1")
+def vectorised_aggregate(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(spread(F.col("value")).alias("width"))
+
+
+@query("SELECT p_partkey, CAST(n AS INTEGER) AS n FROM part JOIN range(1, 51) t(n) ON p_size % n = 0")
+def table_function(spark, sf_dir):
+    register_divisors(spark, "millrace_divisors")
+    return spark.sql("SELECT p_partkey, d.n FROM {p}, LATERAL millrace_divisors(p_size) AS d", p=_t(spark, sf_dir, "part").select("p_partkey", "p_size"))
+
+
+@query("""
+SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1
+""")
+def grouped_map(spark, sf_dir):
+    """A pandas function per user; a user's events are in one task."""
+
+    def ends(rows):
+        rows = rows.sort_values(["ts", "event_id"])
+        return rows.head(1)[["user_id"]].assign(first_type=rows["event_type"].iloc[0], last_type=rows["event_type"].iloc[-1], n=len(rows))
+
+    e = _t(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    return e.groupBy("user_id").applyInPandas(ends, "user_id long, first_type string, last_type string, n long")
+
+
+@query("SELECT event_id, value * 2 AS twice FROM events WHERE value > 100")
+def arrow_map(spark, sf_dir):
+    def doubled(batches):
+        for batch in batches:
+            some = batch.filter(pc.greater(batch.column(1), 100.0))
+            yield pa.RecordBatch.from_arrays([some.column(0), pc.multiply(some.column(1), 2.0)], names=["event_id", "twice"])
+
+    return _t(spark, sf_dir, "events").select("event_id", "value").mapInArrow(doubled, "event_id long, twice double")
+
+
+def _events(spark, sf_dir, pattern="events.parquet"):
+    return streaming.event_stream(spark, sf_dir, _t(spark, sf_dir, "events").schema, pattern=pattern)
+
+
+def _streamed(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Everything that the stream gives for what is there now."""
+    spark, sink = stream.sparkSession, scratch_path(stream.sparkSession, "stream")
+    streaming.run_once(stream, f"{sink}/out", f"{sink}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{sink}/out") if mode == "append" else streaming.latest(spark, f"{sink}/out", stream.schema)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def stream_windows_complete(spark, sf_dir):
+    return _streamed(streaming.tumbling(_events(spark, sf_dir), "1 hour"), "complete").select(naive(F.col("start")).alias("start"), "n")
+
+
+@query("""
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 HOUR, min(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+""")
+def stream_windows_append(spark, sf_dir):
+    """Windows that the watermark, ten minutes behind the latest event, has closed."""
+    return _streamed(streaming.tumbling(_events(spark, sf_dir), "1 hour", ("event_type",))).select(naive(F.col("start")).alias("start"), "event_type", "n")
+
+
+@query("SELECT event_id, user_id, ts FROM events")
+def stream_without_repeats(spark, sf_dir):
+    """Every event comes twice and leaves once."""
+    e = _events(spark, sf_dir)
+    return _streamed(streaming.without_repeats(e.union(e), "event_id").select("event_id", "user_id", naive(F.col("ts")).alias("ts")))
+
+
+@query("SELECT event_id, c_name, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")
+def stream_static_join(spark, sf_dir):
+    return _streamed(streaming.with_static(_events(spark, sf_dir), _t(spark, sf_dir, "customer"), "user_id", "c_custkey").select("event_id", "c_name", "c_mktsegment"))
+
+
 @query()
 def approximate_distinct(spark, sf_dir):
     return _t(spark, sf_dir, "orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))

@@ -34,6 +34,29 @@ def matched_within(left: DataFrame, right: DataFrame, by: str, at: str, span: st
     return left.join(r, near).drop("__by").withColumnRenamed("__at", f"next_{at}")
 
 
+def with_static(events: DataFrame, table: DataFrame, left_key: str, right_key: str) -> DataFrame:
+    """Stream-static join: each event with the matching rows of a table; no state is kept."""
+    return events.join(table, F.col(left_key) == F.col(right_key))
+
+
 def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append") -> None:
-    """Everything that is there now, exactly once, into Parquet files; a later call goes on from the checkpoint."""
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
+    """Everything that is there now, exactly once, into Parquet files; a later call goes on from the checkpoint.
+
+    In complete mode the sink holds the latest whole result, in a folder per
+    batch, so that a repeated batch replaces itself; read it with ``latest``.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", sink)
+    else:
+        writer = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{sink}/batch={n:09d}"))
+    writer.start().awaitTermination()
+
+
+def latest(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
+    """What the last batch of a stream in complete mode left; empty if there was none."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(sink)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(f.getPath().toString() for f in fs.listStatus(path)) if fs.exists(path) else []
+    return spark.read.schema(schema).parquet(names[-1]) if names else spark.createDataFrame([], schema)

@@ -43,7 +43,20 @@ def test_without_the_corpus_operators(blocked):
     assert set(__spark_entry__.oracle_sql()) == set(catalog.oracle_sql())
 
 
+def test_a_folder_left_behind_is_no_part(blocked):
+    """The package's folder without its modules, and a pipeline that asks for one of them."""
+    blocked(["corpus_pipeline"], lambda name: ModuleNotFoundError(name, name="millrace.llm.decontamination"))
+    blocked(["millrace.llm.registry"], lambda name: ModuleNotFoundError(name, name="millrace.llm.registry"))
+    assert set(__spark_entry__.queries()) == set(catalog.queries())
+
+
+def test_without_the_vocabularies(blocked):
+    blocked(["corpus_pipeline"], lambda name: ModuleNotFoundError(name, name="public_tokenizers"))
+    found = set(__spark_entry__.queries())
+    assert set(catalog.queries()) <= found and "pipeline" not in found
+
+
 def test_another_missing_module_is_an_error(blocked):
-    blocked(["millrace.llm.registry"], lambda name: ModuleNotFoundError("no such library", name="some_library"))
+    blocked(["corpus_pipeline", "millrace.llm"], lambda name: ModuleNotFoundError("no such library", name="some_library"))
     with pytest.raises(ModuleNotFoundError):
         __spark_entry__.queries()

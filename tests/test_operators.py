@@ -5,8 +5,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import cosine, dot
-from millrace.operators import as_of_join, range_join, sessions, top_per_group
+from millrace.functions import cosine, dot, initials, spread
+from millrace.operators import as_of_join, range_join, sessions, theta_join, top_per_group
 from millrace.sources import read_table, write_table
 
 
@@ -34,6 +34,32 @@ def test_range_join_agrees_with_comparison(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [100, 2])
+def test_theta_join_in_one_part_and_in_several(spark, most):
+    left, right = spark.range(9).toDF("a"), spark.createDataFrame([(3,), (5,), (5,), (None,), (8,)], "b long")
+    got = sorted((r.a, r.b) for r in theta_join(left, right, F.col("a") * 2 < F.col("b"), most).collect())
+    assert got == sorted((a, b) for a in range(9) for b in (3, 5, 5, 8) if a * 2 < b)
+
+
+def test_vectorised_functions(spark):
+    df = spark.createDataFrame([("a", "two words", 1.5), ("a", None, 4.0), ("b", "", 2.0), ("c", " x  y", None)], "k string, t string, v double")
+    assert [r[0] for r in df.select(initials(F.col("t"))).collect()] == ["tw", None, "", "xy"]
+    got = {r.k: r.w for r in df.where("v is not null").groupBy("k").agg(spread(F.col("v")).alias("w")).collect()}
+    assert got == {"a": 2.5, "b": 0.0}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from millrace import scratch
+
+    kept = scratch.stored(spark.range(5).toDF("a"), "test")
+    assert kept.count() == 5 and scratch.scratch_root(spark)
+    far = SimpleNamespace(sparkContext=SimpleNamespace(getConf=dict, getCheckpointDir=lambda: None, master="spark://far:7077"))
+    with pytest.raises(ValueError):
+        scratch.scratch_root(far)
+
+
 def test_top_per_group(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), (None, 5)], "k string, v int")
     assert sorted((r.k or "", r.v) for r in top_per_group(df, ["k"], [F.desc("v")], 2).collect()) == [("", 5), ("a", 2), ("a", 3)]

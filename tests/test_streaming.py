@@ -59,3 +59,20 @@ def test_stream_stream_join(spark, feed):
     streaming.run_once(joined.select("event_id", "next_v"), str(tmp / "out"), str(tmp / "cp"))
     got = {(r.event_id, r.next_v) for r in spark.read.parquet(str(tmp / "out")).collect()}
     assert (1, 2.0) in got
+
+
+def test_complete_mode_keeps_the_latest_whole_result(spark, feed):
+    stream, tmp = feed
+    counts = stream.groupBy("user_id").agg(F.count("*").alias("n"))
+    streaming.run_once(counts, str(tmp / "out"), str(tmp / "cp"), "complete")
+    got = {r.user_id: r.n for r in streaming.latest(spark, str(tmp / "out"), counts.schema).collect()}
+    assert got == {7: 5, 8: 3}
+    assert streaming.latest(spark, str(tmp / "none"), counts.schema).count() == 0
+
+
+def test_stream_static_join(spark, feed):
+    stream, tmp = feed
+    names = spark.createDataFrame([(7, "seven"), (9, "nine")], "id long, name string")
+    streaming.run_once(streaming.with_static(stream, names, "user_id", "id").select("event_id", "name"), str(tmp / "out"), str(tmp / "cp"))
+    got = sorted(tuple(r) for r in spark.read.parquet(str(tmp / "out")).collect())
+    assert got == [(i, "seven") for i in (1, 1, 2, 4, 5)]
