@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
-MAX_ROUNDS = 60
-
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("node", "root"))).first())
@@ -33,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     now = stored(now.distinct(), "edges")
     seen = _signature(now)
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round shortens the longest way to a root; about the logarithm of a component's size
         if not seen[0]:
             return now
         both = now.select("node", "root").union(now.select("root", "node")).toDF("u", "v")
@@ -47,4 +45,3 @@ def connected_components(edges: DataFrame) -> DataFrame:
         before, seen = seen, _signature(now)
         if seen == before:
             return now
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

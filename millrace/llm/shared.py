@@ -1,41 +1,16 @@
-"""Scratch tables and helpers that the corpus operators share."""
+"""Helpers that the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word, wherever a contract speaks of words: a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+from millrace.scratch import scratch_path, stored
 
-    Only where the setting is absent (tests, local use) a temporary folder is
-    made and set as the session's checkpoint folder.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        root = sc.getCheckpointDir()
-    return root.rstrip("/")
+__all__ = ["WORD", "ascii_lower", "path_exists", "scratch_path", "stored", "table"]
 
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back: lineage is cut, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A word, wherever a contract speaks of words: a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,9 +14,12 @@ Plan: fingerprints are made once per row and reduced to distinct ones, so
 exact copies never meet each other. Keys are shuffled once for counting (with
 map-side sums) and once to bring equal keys together; a sorted stream compares
 the members of a key and gives out a spanning forest, never all pairs. A key
-with more than HOT members is not compared pairwise at all: its fingerprints
-are linked through the points that lie within 2 bits of one and within 1 bit
-of the other, which is exact and linear in their number.
+with more than HOT members is split further along the ring: of the four
+segments that it leaves open at least one is equal in any pair within 3 bits,
+so its members meet on four longer keys of 40 bits. What is still hot then is
+not compared pairwise at all: its fingerprints are linked through the points
+that lie within 2 bits of one and within 1 bit of the other, which is exact
+and linear in their number.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ from millrace.llm.shared import WORD, stored
 BITS = 3
 #: Budgets of the chains of 1 to 8 segments.
 BUDGETS = [(n * BITS) // 8 for n in range(1, 9)]
-#: Members of a key beyond which it is linked through neighbouring points.
+#: Members of a key beyond which it is split, and of a longer key beyond which it is linked through neighbouring points.
 HOT = 1024
 CHOICES = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4))
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -83,6 +86,19 @@ def ring_keys(fp) -> list:
     return keys
 
 
+def longer_keys(fp, key) -> list:
+    """The four keys of a fingerprint that split a key: from bit 37 on, which open segment it is and its value."""
+    number = F.shiftrightunsigned(key, 32).cast("int")
+    start, choice = F.floor(number / len(CHOICES)).cast("int"), number % len(CHOICES)
+    # a shift by 64 is one by 0, so start 0 leaves the fingerprint as it is
+    turned = F.call_function("shiftleft", fp, 8 * start).bitwiseOR(F.call_function("shiftrightunsigned", fp, 64 - 8 * start))
+    keys = []
+    for n, part in enumerate((4 - choice, F.lit(5), F.lit(6), F.lit(7))):  # CHOICES leave out 4, 3 or 2, and all from 5 on
+        byte = F.call_function("shiftrightunsigned", turned, (56 - 8 * part).cast("int")).bitwiseAND(F.lit(255).cast("long"))
+        keys.append(key.bitwiseOR(F.shiftleft(byte + (1 + n * 256), 37)))
+    return keys
+
+
 def within_ring(diff: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which differences (XOR of two fingerprints) keep every budget of the chain from ``start``, and 3 bits in all."""
     turn = (8 * start).astype(np.uint64)
@@ -116,10 +132,10 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.r_[first, len(keys)])
         for size in np.unique(sizes[sizes > 1]):
             runs = first[sizes == size]
-            step = max(1, 2_000_000 // int(size * size))
+            step = max(1, 1_000_000 // int(size * size))
             for at in range(0, len(runs), step):
                 part = runs[at : at + step]
-                start = (keys[part] >> 32) // len(CHOICES)
+                start = (keys[part] >> 32 & 31) // len(CHOICES)
                 a, b = _forest(fps[part[:, None] + np.arange(size)], start)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -152,12 +168,18 @@ def _hot_links(hot: DataFrame) -> DataFrame:
 
 def link_fingerprints(fps: DataFrame, hot: int = HOT) -> DataFrame:
     """``fps``: distinct longs in column fp. Edges (a, b) whose components are those of all pairs within 3 bits."""
-    keyed = fps.select("fp", F.explode(F.array(*ring_keys(F.col("fp")))).alias("key"))
-    heavy = stored(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"), "hot-keys")
-    cold = keyed.join(heavy, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
-    edges = cold.select("key", "fp").mapInArrow(_linked, "a long, b long")
-    dense = keyed.join(heavy, "key", "left_semi").select("fp").distinct()
-    return edges.union(_hot_links(dense))
+    def split(keyed: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """Edges from the keys that aren't hot, and the rows of those that are."""
+        heavy = stored(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"), label)
+        cold = keyed.join(heavy, "key", "left_anti").repartition("key").sortWithinPartitions("key", "fp")
+        return cold.select("key", "fp").mapInArrow(_linked, "a long, b long"), keyed.join(heavy, "key", "left_semi")
+
+    edges, hotter = split(fps.select("fp", F.explode(F.array(*ring_keys(F.col("fp")))).alias("key")), "hot-keys")
+    hotter = stored(hotter.select("fp", "key"), "hot-rows")
+    if hotter.isEmpty():
+        return edges
+    more, dense = split(hotter.select("fp", F.explode(F.array(*longer_keys(F.col("fp"), F.col("key")))).alias("key")), "hotter-keys")
+    return edges.union(more).union(_hot_links(stored(dense.select("fp").distinct(), "dense")))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:

@@ -56,7 +56,7 @@ def test_every_close_pair_keeps_some_ring():
     assert not any(within_ring(far, np.array([s]))[0] for s in range(8))
 
 
-@pytest.mark.parametrize("hot", [1024, 4])
+@pytest.mark.parametrize("hot", [1024, 16, 4])
 def test_links_agree_with_all_pairs(spark, hot):
     """Random fingerprints, chains, and a dense group; with a low bound for hot keys the other path does it."""
     rng = random.Random(5)
@@ -76,6 +76,24 @@ def test_links_agree_with_all_pairs(spark, hot):
     assert {n: got.get(n, n) for n in want} == want
 
 
+def test_many_fingerprints_in_one_key(spark):
+    """They agree on four segments and are random in the others, but for some that are near."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(0, 1 << 32, 20_000, dtype=np.uint64) | np.uint64(0xABCDEF01 << 32)
+    near = fps[:300].copy()
+    for _ in range(3):
+        near ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    fps = np.unique(np.r_[fps, near])
+    pairs = []
+    for at in range(0, len(fps), 500):
+        a, b = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None, :]) <= 3)
+        pairs += [(int(x), int(y)) for x, y in zip(fps[at + a].view(np.int64), fps[b].view(np.int64)) if x < y]
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    got = {r.node: r.root for r in connected_components(link_fingerprints(df)).collect()}
+    want = roots([int(x) for x in fps.view(np.int64)], pairs)
+    assert {n: got.get(n, n) for n in want} == want and len(pairs) >= 250
+
+
 def test_groups_agree_with_all_pairs(docs, clash):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
