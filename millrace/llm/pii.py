@@ -194,6 +194,7 @@ def disclosing_terms(mentioned: DataFrame, total: DataFrame, docs: DataFrame, te
     # a text counts once however often it is copied
     entities = mentioned.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     entities = entities.crossJoin(F.broadcast(total)).withColumn("ic", F.log2("total") - F.log2("n_e")).where("ic > 0")  # one row
+    entities = stored(entities, "pii-entities")  # no sum stands between the shuffle and the join, so a hot entity can be split
     near = mentioned.select("entity", "digest", F.explode("terms").alias("term"))
     # an entity that half the texts hold is one more key of sums that are made map-side
     pairs = near.join(entities, "entity").select("entity", "ic", "digest", "term").distinct().groupBy("entity", "ic", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
