@@ -177,19 +177,17 @@ def language_of(text: Column, langs: list[str], prototypes: np.ndarray) -> Colum
 
     def predict(column: pa.Array) -> pa.Array:
         kinds = _letters()
-        texts = [t or "" for t in column.to_pylist()]
-        size, cos = np.zeros(len(texts)), np.zeros((len(texts), len(unit)))
-        for first in range(0, len(texts), TEXTS):
-            some = texts[first : first + TEXTS]
-            v = bundles(some, np.arange(len(some)), len(some), unit.shape[1])
-            size[first : first + TEXTS] = own = np.linalg.norm(v, axis=1)
-            cos[first : first + TEXTS] = v @ unit.T / np.maximum(own, 1e-300)[:, None]
-        best = cos.argmax(axis=1) if len(langs) and len(texts) else np.zeros(len(texts), int)
         names, scores = [], []
-        for i, t in enumerate(texts):
-            letters = size[i] > 0 and any(kinds[ord(c)] == 2 for c in t)
-            names.append(langs[best[i]] if letters and langs else "und")
-            scores.append(float(min(1.0, max(0.0, cos[i, best[i]]))) if letters and langs else 0.0)
+        for first in range(0, len(column), TEXTS):
+            texts = [t or "" for t in column.slice(first, TEXTS).to_pylist()]
+            v = bundles(texts, np.arange(len(texts)), len(texts), unit.shape[1])
+            size = np.linalg.norm(v, axis=1)
+            cos = v @ unit.T / np.maximum(size, 1e-300)[:, None]
+            best = cos.argmax(axis=1) if langs else np.zeros(len(texts), int)
+            for i, t in enumerate(texts):
+                letters = size[i] > 0 and any(kinds[ord(c)] == 2 for c in t)
+                names.append(langs[best[i]] if letters and langs else "und")
+                scores.append(float(min(1.0, max(0.0, cos[i, best[i]]))) if letters and langs else 0.0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return F.arrow_udf(predict, "lang_pred string, score double")(text)

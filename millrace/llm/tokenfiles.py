@@ -40,6 +40,8 @@ MAGIC = struct.pack("<I", 0x8F92EAB1)
 #: version, bytes of an id, partition, shard within it
 _HEADER = struct.Struct("<4sHHIIQ")
 SHARD_BYTES, SHARD_DOCS = 16 << 20, 65536
+#: Texts that a worker takes out of a batch at once.
+ROWS = 500
 
 
 def _skippable(magic: int, data: bytes) -> bytes:
@@ -141,13 +143,14 @@ def write_token_files(
         end, partition, shard, out = struct.pack("<I", end_id), TaskContext.get().partitionId(), 0, None
         row = lambda w: pa.RecordBatch.from_arrays([pa.array([w.finish()], pa.binary())], names=["value"])
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.batch(texts), strict=True):
-                out = out or ShardWriter(partition, shard, width)
-                out.add(doc_id, ids + end)
-                if out.size >= shard_bytes or len(out.ids) >= shard_docs:
-                    yield row(out)
-                    out, shard = None, shard + 1
+            for some in (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS)):
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode.batch(texts), strict=True):
+                    out = out or ShardWriter(partition, shard, width)
+                    out.add(doc_id, ids + end)
+                    if out.size >= shard_bytes or len(out.ids) >= shard_docs:
+                        yield row(out)
+                        out, shard = None, shard + 1
         if out:
             yield row(out)
 
