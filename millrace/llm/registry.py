@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm.shared import scratch_path, table
 
@@ -80,6 +81,41 @@ def op10_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-cache"))
 
 
+#: The contract's list of hosts and paths, as patterns.
+URL_LIST = [("||net/", "block"), ("||example.net/en/", "allow"), ("||example.com/de/", "block"), ("||org/fr/", "allow")]
+#: Patterns that decide where the list doesn't; what none of them fits is allowed.
+URL_PATTERNS = ["?utm_medium=spam", "||casino-*", "||adult-*", "||spam-*", "-pills.", "||ads-*", "-bets.", "/ads/"]
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*((?s:.*))$', 1), '') AS rest FROM pages),
+r AS (SELECT *, host || rest AS subject, '.' || host AS dotted,
+  CASE WHEN ('.' || host) LIKE '%.example.net' AND starts_with(path, '/en/') THEN 'example.net/en/'
+       WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/de/') THEN 'example.com/de/'
+       WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
+       WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN contains(subject, '?utm_medium=spam') OR contains(dotted, '.casino-') OR contains(dotted, '.adult-') OR contains(dotted, '.spam-') OR contains(dotted, '.ads-')
+         OR contains(subject, '-pills.') OR contains(subject, '-bets.') OR contains(subject, '/ads/') THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
+def op11_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.urlrules import judge
+
+    listed = [(p, v, 0) for p, v in URL_LIST] + [(p, "block", 1) for p in URL_PATTERNS]
+    told = judge(table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(listed, "pattern string, verdict string, rank int"))
+    return told.select("page_id", "host", "path", F.expr("if(rank = 0, substring(pattern, 3), null)").alias("rule"), "verdict")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.infill import digests, infill
+
+    return digests(infill(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -92,10 +128,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tokenfiles": op8_tokenfiles,
         "op9_pii": op9_pii,
         "op10_tokencounts": op10_tokencounts,
+        "op11_urlrules": op11_urlrules,
+        "op13_infill": op13_infill,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    from millrace.llm.infill import INFILL_SQL
     from millrace.llm.mixing import MIXTURE_SQL
 
-    return {"op7_mixing": MIXTURE_SQL}
+    return {"op7_mixing": MIXTURE_SQL, "op11_urlrules": URL_SQL, "op13_infill": INFILL_SQL}

@@ -13,11 +13,13 @@ import numpy as np
 import public_tokenizers
 import pytest
 from test_decontamination import slow_score
+from test_infill import brute as filled
 from test_langid import slow_bundle
 from test_licenses import whole
 from test_pii import base, shown
 from test_simhash import brute as near_groups
 from test_simhash import fingerprint
+from test_urlrules import brute as judged
 from test_vectors import brute as near_vectors
 from tokenizers import Tokenizer
 
@@ -38,7 +40,10 @@ TYPES = {
     "op8_tokenfiles": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op9_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op10_tokencounts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op11_urlrules": "page_id bigint, host string, path string, rule string, verdict string",
+    "op13_infill": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
+PAGES = [None, "http://a.net", "http://a.net/", "https://b.example.net/en/1?x", "https://b.example.com/de/", "http://org/fr/", "http://shop.casino-x.com/", "http://x.com/a?utm_medium=spam", "none"]
 
 
 def make():
@@ -77,6 +82,7 @@ def data(spark, tmp_path_factory):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(i, u, "<p>x") for i, u in enumerate(PAGES)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
     return folder
 
 
@@ -206,6 +212,17 @@ def test_token_counts(results):
     assert sorted(r[:3] for r in results["op10_tokencounts"]) == sorted(want) and all(r[3] == (r[2] > 512) for r in results["op10_tokencounts"])
 
 
+def test_url_rules(results):
+    rules = [(p, v, 0) for p, v in registry.URL_LIST] + [(p, "block", 1) for p in registry.URL_PATTERNS]
+    want = judged(list(enumerate(PAGES)), rules)
+    listed = {p for p, _ in registry.URL_LIST}
+    assert sorted(results["op11_urlrules"]) == sorted((i, h, p, r[2:] if r in listed else None, v) for i, (h, p, r, v) in want.items())
+
+
+def test_infill(results):
+    assert sorted(results["op13_infill"]) == sorted(filled(d, t) for d, t, *_ in make()[0])
+
+
 def test_the_pipeline_agrees_with_brute_force(spark, data):
     docs, bench, _, _ = make()
     scores = told(docs, learned_from(docs), corpus_pipeline.LANGUAGE_DIM)

@@ -1,0 +1,110 @@
+"""URL rules against a plain reading of the patterns, and the index's choices."""
+
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm.registry import URL_LIST, URL_PATTERNS
+from millrace.llm.urlrules import indexed, judge
+
+RULES = "pattern string, verdict string, rank int"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def parts(url):
+    """Host, path and subject by plain string functions."""
+    if url is None or "://" not in url:
+        return "", "", ""
+    rest = url.split("://", 1)[1]
+    at = min([i for i in (rest.find(c) for c in "/?#") if i >= 0], default=len(rest))
+    path = re.split("[?#]", rest[at:])[0]
+    return rest[:at].translate(LOW), path, rest[:at].translate(LOW) + rest[at:]
+
+
+def fits(pattern, subject, host):
+    """Whether a pattern fits, by trying all places."""
+
+    def here(p, s, start):
+        if not p:
+            return True
+        if p == "|":
+            return start == len(s)
+        if p[0] == "*":
+            return any(here(p[1:], s, i) for i in range(start, len(s) + 1))
+        if p[0] == "^":
+            if start == len(s):
+                return here(p[1:], s, start)
+            return not (s[start].isalnum() or s[start] in "_.%-" or s[start] > "\x7f") and here(p[1:], s, start + 1)
+        return start < len(s) and s[start] == p[0] and here(p[1:], s, start + 1)
+
+    if pattern.startswith("||"):
+        return any(here(pattern[2:], subject, i) for i in range(len(host) + 1) if i == 0 or host[i - 1] == ".")
+    if pattern.startswith("|"):
+        return here(pattern[1:], subject, 0)
+    return any(here(pattern, subject, i) for i in range(len(subject) + 1))
+
+
+def brute(urls, rules, otherwise="allow"):
+    out = {}
+    for i, url in urls:
+        host, path, subject = parts(url)
+        there = url is not None and "://" in url
+        found = min(((99 if r is None else r, -len(p), p, v) for p, v, r in rules if p and there and fits(p, subject, host)), default=None)
+        out[i] = (host, path, found[2] if found else None, found[3] if found else otherwise)
+    return out
+
+
+def run(spark, urls, rules, **more):
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    return {r.page_id: (r.host, r.path, r.pattern, r.verdict) for r in judge(pages, spark.createDataFrame(rules, RULES), **more).collect()}
+
+
+CASES = [
+    None, "", "no scheme", "http://", "://", "http://net", "http://net/", "http://a.NET/x", "https://example.net/en/", "https://x.example.net/en/1", "http://notexample.net/en/1", "https://example.net/EN/1",
+    "http://example.com/de/2", "http://example.com/de", "http://a.b.org/fr/1#x", "http://org?/fr/", "http://a.org/fr/?q=/ads/", "http://a.example.com/ads/1", "http://shop.casino-x.com/", "http://mycasino-x.com/",
+    "http://A.com/ÄÖ/é?utm_medium=spam", "http://cheap-pills.example.com/a", "http://a.net:80/", "http://u@a.net/", "a://b://c.net/", "http://a.com/\nline/ads/", "http://😀.net/😀", "x" * 30_000 + "://a.net/" + "y" * 30_000,
+]
+
+
+def test_listed_rules(spark):
+    rules = [(p, v, 0) for p, v in URL_LIST] + [(p, "block", 1) for p in URL_PATTERNS]
+    urls = list(enumerate(CASES))
+    assert run(spark, urls, rules) == brute(urls, rules)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_random_rules(spark, broadcast):
+    rng = random.Random(4)
+    names = ["a", "b", "ab", "ads", "x1", "é", "net", "com"]
+    marks = ["/", ".", "-", "?", "&", "_", "=", "%"]
+    some = lambda n: "".join(rng.choice(names) + rng.choice(marks) for _ in range(n))
+    urls = [(i, f"http://{rng.choice(names)}.{rng.choice(names).upper()}.{rng.choice(['net', 'com'])}/{some(rng.randint(0, 4))}") for i in range(150)] + [(900, None), (901, "http://a.net/x")]
+    rules = []
+    for _ in range(60):
+        body = rng.choice(names) + "".join(rng.choice([rng.choice(names), rng.choice(marks), rng.choice("*^")]) for _ in range(rng.randint(1, 4)))
+        rules.append((rng.choice(["", "|", "||"]) + body + rng.choice(["", "", "|"]), rng.choice(["allow", "block"]), rng.choice([5 - len(body), 5 - len(body), None])))
+    rules = list({r[0]: r for r in rules}.values()) + [("", "block", 0), (None, "block", 0)]
+    got = run(spark, urls, rules, broadcast=broadcast)
+    assert got == brute(urls, rules)
+    assert len({v[2] for v in got.values()}) > 5 and None in {v[2] for v in got.values()}
+
+
+def test_filed_under_the_rarest_token(spark):
+    rules = spark.createDataFrame([("||ads.net/x", "block", 0, "r", ["ads", "net"]), ("||net/new/", "block", 0, "r", ["net", "new"]), ("*", "block", 0, "r", [])], RULES + ", regex string, whole array<string>")
+    tokens = spark.createDataFrame([("ads", 3), ("net", 9)], "token string, n long")
+    got = {r.pattern: (r.token, r.n) for r in indexed(rules, tokens).collect()}
+    assert got == {"||ads.net/x": ("ads", 3), "||net/new/": ("new", 0), "*": ("", 0)}
+
+
+def test_repeats_clashes_and_empty_tables(spark):
+    rules = [("||net/", "block", 0), ("||net/", "block", 0)]
+    pages = spark.createDataFrame([(1, "http://a.net/"), (1, "http://a.net/"), (None, "http://b.com/"), (2, None)], "page_id long, url string")
+    extra = pages.withColumns({c: F.lit("x") for c in ("host", "verdict", "token", "subject", "row_", "rule_", "judged_", "regex", "n")})
+    got = judge(extra, spark.createDataFrame(rules, RULES))
+    assert sorted(((r.page_id, r.host, r.verdict, r.token, r.rule_) for r in got.collect()), key=str) == [(1, "a.net", "block", "x", "x")] * 2 + [(2, "", "allow", "x", "x"), (None, "b.com", "allow", "x", "x")]
+    assert judge(pages.limit(0), spark.createDataFrame(rules, RULES)).count() == 0
+    assert {r.verdict for r in judge(pages, spark.createDataFrame([], RULES), otherwise="keep").collect()} == {"keep"}
