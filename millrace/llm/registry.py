@@ -110,6 +110,14 @@ def op11_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("page_id", "host", "path", F.expr("if(rank = 0, substring(pattern, 3), null)").alias("rule"), "verdict")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from millrace.llm.alignment import alignments
+
+    return alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.infill import digests, infill
 
@@ -129,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_tokencounts": op10_tokencounts,
         "op11_urlrules": op11_urlrules,
+        "op12_alignment": op12_alignment,
         "op13_infill": op13_infill,
     }
 

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from test_alignment import Slow
 from test_decontamination import slow_score
 from test_infill import brute as filled
 from test_langid import slow_bundle
@@ -41,6 +42,7 @@ TYPES = {
     "op9_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op10_tokencounts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op11_urlrules": "page_id bigint, host string, path string, rule string, verdict string",
+    "op12_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op13_infill": "doc_id bigint, n bigint, form string, prefix_chars bigint, middle_chars bigint, output_sha256 string, restored_sha256 string",
 }
 PAGES = [None, "http://a.net", "http://a.net/", "https://b.example.net/en/1?x", "https://b.example.com/de/", "http://org/fr/", "http://shop.casino-x.com/", "http://x.com/a?utm_medium=spam", "none"]
@@ -219,6 +221,10 @@ def test_url_rules(results):
     assert sorted(results["op11_urlrules"]) == sorted((i, h, p, r[2:] if r in listed else None, v) for i, (h, p, r, v) in want.items())
 
 
+def test_alignment(results):
+    assert sorted(results["op12_alignment"]) == sorted(Slow().rows([(d, t) for d, t, *_ in make()[0]]))
+
+
 def test_infill(results):
     assert sorted(results["op13_infill"]) == sorted(filled(d, t) for d, t, *_ in make()[0])
 
