@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from millrace import streaming
 from millrace.functions import dot, exact_sum, initials, naive, register_divisors, spread
-from millrace.operators import as_of_join, range_join, sessions, theta_join, top_per_group
+from millrace.operators import as_of_join, extraction, range_join, sessions, theta_join, top_per_group
+from millrace.operators.neighbours import nearest
 from millrace.scratch import scratch_path
+from millrace.streaming.funnel import funnel
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -397,6 +399,63 @@ def stream_static_join(spark, sf_dir):
     return _streamed(streaming.with_static(_events(spark, sf_dir), _t(spark, sf_dir, "customer"), "user_id", "c_custkey").select("event_id", "c_name", "c_mktsegment"))
 
 
+_FUNNEL_SECONDS = 172_800
+
+
+@query(f"""
+WITH e AS (SELECT * FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS w FROM events),
+sure AS (SELECT e.* FROM e, w WHERE ts < w),
+v AS (SELECT * FROM sure WHERE event_type = 'view'),
+c AS (SELECT v.event_id AS start_id, arg_min(c.event_id, (c.ts, c.event_id)) AS click, min(c.ts) AS click_ts FROM v JOIN sure c ON c.user_id = v.user_id AND c.event_type = 'click'
+  AND (c.ts > v.ts OR (c.ts = v.ts AND c.event_id > v.event_id)) AND c.ts <= v.ts + INTERVAL {_FUNNEL_SECONDS} SECOND GROUP BY 1),
+p AS (SELECT v.event_id AS start_id, arg_min(p.event_id, (p.ts, p.event_id)) AS purchase FROM v JOIN c ON c.start_id = v.event_id JOIN sure p ON p.user_id = v.user_id AND p.event_type = 'purchase'
+  AND (p.ts > c.click_ts OR (p.ts = c.click_ts AND p.event_id > c.click)) AND p.ts <= v.ts + INTERVAL {_FUNNEL_SECONDS} SECOND GROUP BY 1)
+SELECT v.user_id, v.event_id AS start_id, v.ts AS start_ts, CAST(1 + CAST(click IS NOT NULL AS INTEGER) + CAST(purchase IS NOT NULL AS INTEGER) AS INTEGER) AS reached, c.click AS click_id, p.purchase AS purchase_id
+FROM v LEFT JOIN c ON c.start_id = v.event_id LEFT JOIN p ON p.start_id = v.event_id, w WHERE p.purchase IS NOT NULL OR v.ts + INTERVAL {_FUNNEL_SECONDS} SECOND < w
+""")
+def stream_funnel(spark, sf_dir):
+    """From view to click to purchase within two days, a row for each view that the watermark has settled."""
+    told = _streamed(funnel(_events(spark, sf_dir), "user_id", ("view", "click", "purchase"), _FUNNEL_SECONDS))
+    return told.select("user_id", "start_id", naive(F.col("start_ts")).alias("start_ts"), "reached", F.get("ids", 1).alias("click_id"), F.get("ids", 2).alias("purchase_id"))
+
+
+@query("""
+WITH v AS (SELECT * FROM events WHERE event_type = 'view'), p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+w AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS w FROM events)
+SELECT v.event_id, v.user_id, p.event_id AS next_event_id FROM v LEFT JOIN p ON v.user_id = p.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL 6 HOUR, w
+WHERE p.event_id IS NOT NULL OR v.ts < w - INTERVAL 6 HOUR
+""")
+def stream_outer_join(spark, sf_dir):
+    """Views with the purchases of the next six hours; those without any once the watermark says that none can come."""
+    e = _events(spark, sf_dir).select("event_id", "user_id", "ts", "event_type")
+    views, buys = e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'purchase'").drop("event_type")
+    return _streamed(streaming.matched_within(views, buys, "user_id", "ts", "6 hours", "leftOuter").select("event_id", "user_id", "next_event_id"))
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, min(ts) AS start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 10 MINUTE
+""")
+def stream_sessions(spark, sf_dir):
+    """Sessions that the watermark has closed, from a stream."""
+    return _streamed(streaming.session_counts(_events(spark, sf_dir), "user_id", "30 minutes")).select("user_id", naive(F.col("start")).alias("start"), "n")
+
+
+@query()
+def page_text(spark, sf_dir):
+    """Main text of every page, without blocks that the pages of its host share."""
+    return extraction.page_text(_t(spark, sf_dir, "pages"))
+
+
+@query()
+def nearest_vectors(spark, sf_dir):
+    """The ten nearest of every embedding."""
+    return nearest(_t(spark, sf_dir, "embeddings"))
+
+
 @query()
 def approximate_distinct(spark, sf_dir):
     return _t(spark, sf_dir, "orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("customers"))

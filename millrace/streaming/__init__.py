@@ -27,11 +27,16 @@ def without_repeats(events: DataFrame, key: str) -> DataFrame:
     return events.dropDuplicatesWithinWatermark([key])
 
 
-def matched_within(left: DataFrame, right: DataFrame, by: str, at: str, span: str) -> DataFrame:
-    """Stream-stream join: right rows at most ``span`` after a left row of the same key; state older than that is let go."""
+def matched_within(left: DataFrame, right: DataFrame, by: str, at: str, span: str, how: str = "inner") -> DataFrame:
+    """Stream-stream join: right rows at most ``span`` after a left row of the same key; state older than that is let go.
+
+    With ``how`` "leftOuter" a left row that nothing matches comes out with
+    nulls once the watermark, which is the lower one of both sides, has passed
+    the last moment of a match.
+    """
     r = right.select(F.col(by).alias("__by"), F.col(at).alias("__at"), *[F.col(c).alias(f"next_{c}") for c in right.columns if c not in (by, at)])
     near = (F.col(by) == F.col("__by")) & (F.col("__at") >= F.col(at)) & (F.col("__at") <= F.col(at) + F.expr(f"interval {span}"))
-    return left.join(r, near).drop("__by").withColumnRenamed("__at", f"next_{at}")
+    return left.join(r, near, how).drop("__by").withColumnRenamed("__at", f"next_{at}")
 
 
 def with_static(events: DataFrame, table: DataFrame, left_key: str, right_key: str) -> DataFrame:

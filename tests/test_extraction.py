@@ -1,0 +1,164 @@
+"""HTML blocks against hand-written pages and a plain parser; main text against a plain reading of the rules."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+from html.parser import HTMLParser
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions.html import INLINE, page_blocks, parse_page
+from millrace.operators import extraction
+
+PAGES = "page_id long, url string, html string"
+
+
+def texts(page):
+    return [(b["tag"], b["text"]) for b in parse_page(page)["blocks"]]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (None, []),
+        ("", []),
+        ("just  text\n here", [("", "just text here")]),
+        ("<p>one<p>two</p></p>three", [("p", "one"), ("p", "two"), ("", "three")]),
+        ("<div>a<b>b</b>c<br>d</div>", [("div", "abc d")]),
+        ("<ul><li>x<li>y<ul><li>z</ul>w</ul>", [("li", "x"), ("li", "y"), ("li", "z"), ("li", "w")]),
+        ("<script>var a = '<p>no</p>';</script><p>yes", [("p", "yes")]),
+        ("<script>never closed <p>no</p>", []),
+        ("<style>p{}</STYLE><p>yes", [("p", "yes")]),
+        ("a<!-- <p>no --> b<!-- open <p>", [("", "a b")]),
+        ("<!DOCTYPE html><p>&lt;x&gt; &eacute; &#233; &nope;", [("p", "<x> é é &nope;")]),
+        ("<p title=\"a > b\" x='>'>in", [("p", "in")]),
+        ('<p title="open>in</p><p>out', [("p", "in"), ("p", "out")]),
+        ("1 < 2 <3 <", [("", "1 < 2 <3 <")]),
+        ("<p", []),
+        ("<td>a<td>b<tr><td>c", [("td", "a"), ("td", "b"), ("td", "c")]),
+        ("<P>UP</P><custom-x>own</custom-x>", [("p", "UP"), ("custom-x", "own")]),
+        ("<div/>a<p/>b", [("", "a"), ("", "b")]),
+        ("</p></div>a", [("", "a")]),
+    ],
+)
+def test_pages(page, want):
+    assert texts(page) == want
+
+
+def test_title_areas_and_links():
+    got = parse_page("<html><head><title>A  &amp; b</title></head><body><nav><a href=x>one two</a> three</nav><article><p>four <a>five</a> <b>six</b></article></body>")
+    assert got["title"] == "A & b"
+    assert [(b["area"], b["words"], b["link_words"], b["tags"]) for b in got["blocks"]] == [("nav", 3, 2, 1), ("article", 3, 1, 2)]
+
+
+class Plain(HTMLParser):
+    """Blocks of well-formed pages by the standard library."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.parts = [], []
+
+    def cut(self):
+        words = "".join(self.parts).split()
+        self.out += [" ".join(words)] if words else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in INLINE:
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag not in INLINE:
+            self.cut()
+
+    def handle_data(self, data):
+        self.parts.append(data)
+
+
+def test_random_well_formed_pages():
+    rng = random.Random(2)
+
+    def node(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["word ", "two words", " &amp; ", "é", "\n", "<br>", "<!-- c -->", "<img src='a>b'>"])
+        tag = rng.choice(["div", "section", "b", "a", "span", "h2", "article", "blockquote"])
+        return f"<{tag} class=\"x y\">{''.join(node(depth - 1) for _ in range(rng.randint(0, 4)))}</{tag}>"
+
+    for _ in range(200):
+        page = "".join(node(4) for _ in range(3))
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        plain.cut()
+        assert [t for _, t in texts(page)] == plain.out, page
+
+
+def test_any_text_is_a_page_in_linear_time():
+    rng = random.Random(3)
+    for _ in range(300):
+        parse_page("".join(rng.choice(["<", ">", "/", "p", "a", '"', "'", "=", " ", "!--", "-->", "&", "<script", "</", "li>", "<ul>"]) for _ in range(60)))
+    n = 60_000
+    for page in ("<div>x" * n, "<b>" * n + "x", "<li>x" * n, "<p>x</p>" * n, "<" * n, "<a " * n, '<a b="' * n, "<p><x>" * n, "</p>" * n, "<script>" * n, "<!--" * n):
+        parse_page(page)
+
+
+def brute(rows, least=extraction.SHARED_PAGES, part=extraction.SHARED_PART):
+    dense = lambda b: b["words"] >= 10 and b["words"] > 2 * b["tags"] and b["link_words"] <= 0.34 * b["words"]
+    read = []
+    for i, url, page in rows:
+        found = re.search("://([^/?#]+)", url or "")
+        parsed = parse_page(page)
+        inner = [b for b in parsed["blocks"] if b["area"] not in extraction.MARGINS]
+        main = []
+        for k, b in enumerate(inner):
+            before, after = k > 0 and dense(inner[k - 1]), k + 1 < len(inner) and dense(inner[k + 1])
+            if dense(b) or (re.fullmatch("h[1-6]", b["tag"]) and after) or (b["link_words"] == 0 and before and after):
+                main.append(b["text"])
+        read.append((i, found[1].lower() if found else None, parsed, main))
+    pages, often = Counter(h for _, h, _, _ in read), Counter((h, t) for _, h, _, main in read for t in set(main))
+    out = []
+    for i, h, parsed, main in read:
+        left = [t for t in main if h is None or often[h, t] < least or often[h, t] < math.ceil(part * pages[h])]
+        out.append((i, h, parsed["title"], len(parsed["blocks"]), len(main), len(main) - len(left), "\n".join(left)))
+    return out
+
+
+def make():
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choice(["ab", "cde", "f", "ghi"]) + str(rng.randint(0, 99)) for _ in range(n))
+    line = "This line is said on every page of the host, and again on the next one"
+    rows = []
+    for i in range(60):
+        blocks = [f"<p>{some(rng.randint(1, 25))}</p>" for _ in range(rng.randint(0, 6))]
+        body = f"<nav>{some(12)}</nav><article><h2>{some(3)}</h2>{''.join(blocks)}<div>{line}</div>" + rng.choice(["</article>", "", f"<p><a href=x>{some(11)}</a></p>"])
+        rows.append((i, f"http://{rng.choice('ab')}.example.NET/{i}", f"<title>t{i}</title>{body}<footer>{line}"))
+    return rows + [(100, "http://c.x/1", f"<p>{line}</p>"), (101, None, f"<p>{line}"), (102, "no host", f"<p>{line}"), (103, "http://a.example.net/", None), (104, "http://a.example.net", ""), (None, "http://a.example.net", f"<p>{line}"), (7, rows[7][1], rows[7][2]), (7, rows[7][1], rows[7][2])]
+
+
+def test_page_text(spark):
+    rows = make()
+    key = lambda r: tuple((x is None, x) for x in r)
+    got = extraction.page_text(spark.createDataFrame(rows, PAGES).withColumns({c: F.lit("x") for c in ("host", "title", "page", "main", "digest", "own", "drop", "n", "pages", "text", "p", "h")}))
+    found = sorted((tuple(r) for r in got.collect()), key=key)
+    assert found == sorted(brute(rows), key=key)
+    assert sum(r[5] for r in found) > 50 and any(r[4] and not r[5] for r in found)
+    assert extraction.page_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_page_text_of_the_tables(spark):
+    from millrace.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert sorted(tuple(r) for r in catalog.queries()["page_text"](spark, folder).collect()) == sorted(brute(rows))
+
+
+def test_blocks_as_a_column(spark):
+    got = spark.createDataFrame([("<p>a",), (None,)], "html string").select(page_blocks(F.col("html")).alias("p")).collect()
+    assert [b.text for b in got[0].p.blocks] == ["a"] and got[1].p.blocks == [] and got[1].p.title == ""

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import streaming
+from millrace.streaming.funnel import funnel
 
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, value double"
 
@@ -76,3 +77,85 @@ def test_stream_static_join(spark, feed):
     streaming.run_once(streaming.with_static(stream, names, "user_id", "id").select("event_id", "name"), str(tmp / "out"), str(tmp / "cp"))
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp / "out")).collect())
     assert got == [(i, "seven") for i in (1, 1, 2, 4, 5)]
+
+
+EVENTS = "event_id long, user_id long, ts timestamp_ntz, event_type string"
+
+
+@pytest.fixture
+def typed(spark, tmp_path):
+    """Appends a file of (event_id, user_id, minutes, event_type) to a folder and returns the stream over it."""
+    base = datetime(2024, 1, 1)
+
+    def put(n, rows):
+        spark.createDataFrame([(i, u, None if m is None else base + timedelta(minutes=m), k) for i, u, m, k in rows], EVENTS).coalesce(1).write.parquet(str(tmp_path / f"f{n}"))
+        (tmp_path / "typed").mkdir(exist_ok=True)
+        next((tmp_path / f"f{n}").glob("*.parquet")).rename(tmp_path / "typed" / f"{n}.parquet")
+        return streaming.event_stream(spark, str(tmp_path / "typed"), spark.createDataFrame([], EVENTS).schema)
+
+    return put, tmp_path
+
+
+def settled(rows, span, upto):
+    """Funnels by brute force: start -> ids, for starts that ``upto`` (in minutes) has settled."""
+    rows, out = sorted(r for r in rows if r[2] is not None and r[2] < upto), {}
+    rows = sorted(((m, i, u, k) for i, u, m, k in rows if u is not None))
+    for m, i, u, k in rows:
+        if k != "view":
+            continue
+        ids, last = [i], (m, i)
+        for step in ("click", "purchase"):
+            after = [e for e in rows if e[2] == u and e[3] == step and e[:2] > last and e[0] <= m + span]
+            if not after:
+                break
+            last = after[0][:2]
+            ids.append(last[1])
+        if len(ids) == 3 or m + span < upto:
+            out[i] = ids
+    return out
+
+
+def test_funnel_with_timeouts_and_a_restart(spark, typed):
+    import random
+
+    put, tmp = typed
+    rng, rows, at = random.Random(9), [], 0
+    for i in range(240):
+        at += rng.choice([0, 1, 7, 20])
+        rows.append((i, rng.choice([1, 1, 1, 2, 3, None]), at - rng.choice([0, 0, 4]), rng.choice(["view", "click", "purchase", "error"])))
+    rows += [(900, 1, None, "view"), (901, 1, at, None)]
+    span = 60
+    files = [rows[:90], rows[90:170], rows[170:]]
+    for n, part in enumerate(files):
+        stream = put(n, part)
+        streaming.run_once(funnel(stream, "user_id", ("view", "click", "purchase"), span * 60), str(tmp / "out"), str(tmp / "cp"))  # from the checkpoint of the run before
+        upto = max(r[2] for f in files[: n + 1] for r in f if r[2] is not None) - 10
+        got = [(r.start_id, r.ids) for r in spark.read.parquet(str(tmp / "out")).collect()]
+        want = settled([r for f in files[: n + 1] for r in f], span, upto)
+        assert len(got) == len(want) and dict(got) == want
+    assert {len(x) for x in want.values()} == {1, 2, 3}
+
+
+def test_funnel_drops_what_is_late_and_takes_ties_by_id(spark, typed):
+    put, tmp = typed
+    put(0, [(5, 1, 0, "view"), (4, 1, 0, "click"), (6, 1, 0, "click"), (7, 1, 0, "purchase"), (8, 1, 30, "view")])
+    put(1, [(9, 2, 500, "view")])
+    stream = put(2, [(10, 1, 31, "click"), (11, 2, 1000, "error"), (12, 3, 1000, "view")])
+    streaming.run_once(funnel(stream, "user_id", ("view", "click", "purchase"), 3600), str(tmp / "out"), str(tmp / "cp"))
+    assert {r.start_id: r.ids for r in spark.read.parquet(str(tmp / "out")).collect()} == {5: [5, 6, 7], 8: [8], 9: [9]}
+
+
+def test_outer_join_releases_nulls_once_the_watermark_has_passed(spark, typed):
+    put, tmp = typed
+
+    def run(stream):
+        left, right = (stream.where(F.col("event_type") == k).drop("event_type") for k in ("view", "purchase"))
+        streaming.run_once(streaming.matched_within(left, right, "user_id", "ts", "1 hour", "leftOuter").select("event_id", "next_event_id"), str(tmp / "out"), str(tmp / "cp"))
+        return sorted((tuple(r) for r in spark.read.parquet(str(tmp / "out")).collect()), key=str)
+
+    assert run(put(0, [(1, 1, 0, "view"), (2, 1, 10, "view"), (3, 2, 20, "view"), (4, 1, 60, "purchase"), (13, None, 0, "view")])) == [(1, 4), (2, 4)]
+    # an hour after view 3 hasn't passed yet, as the watermark is ten minutes behind
+    assert run(put(1, [(5, 3, 85, "view")])) == [(1, 4), (13, None), (2, 4)]
+    # a late purchase, still within the watermark, matches; one behind it doesn't, as the null has been released
+    assert run(put(2, [(6, 2, 80, "purchase"), (7, 3, 160, "purchase")])) == [(1, 4), (13, None), (2, 4), (3, 6), (5, None)]
+    assert run(put(3, [(8, 3, 86, "purchase"), (9, 9, 400, "error")])) == [(1, 4), (13, None), (2, 4), (3, 6), (5, None)]
