@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import zlib
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm.encoding import Encoder, tokenizer_version
 from millrace.llm.shared import scratch_path
-from millrace.llm.tokencounts import cached_counts, token_counts
+from millrace.llm.tokencounts import cached_counts, fill_cache, token_counts
 from millrace.llm.tokenfiles import ShardReader, read_token_files, token_file_digests, write_token_files
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -102,3 +103,43 @@ def test_counts_and_cache(docs, clash, spark):
     assert cached_counts(spark, path, version).count() == spark.read.parquet(path).count()
     assert cached_counts(spark, path, "another version").count() == 0
     assert token_counts(docs([]), BYTES, scratch_path(spark, "test-cache")).count() == 0
+
+
+def counted(rows):
+    library = Tokenizer.from_file(BYTES)
+    return sorted((str(i), len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in rows)
+
+
+def test_a_half_full_cache(docs, clash, spark):
+    """Known and missing texts, nulls, copies across both halves and repeated rows; stored counts are used, and only misses are appended."""
+    path = scratch_path(spark, "test-cache")
+    rows = [(i, t) for i, t in enumerate([None, "", "one two", "one two", "three", "é ü 😀", "w " * 600, "four", "five", None, "three"])] + [(3, "one two"), (None, "six"), (None, "six")]
+    half = rows[:6]
+    fill_cache(clash(docs(half)), BYTES, path)
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in half})
+    got = token_counts(clash(docs(rows)), BYTES, path)
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == counted(rows)
+    assert spark.read.parquet(path).count() == len({t or "" for _, t in rows})
+    version = tokenizer_version(open(BYTES).read())
+    wrong = spark.createDataFrame([(version, hashlib.sha256(b"seven").digest(), 77), ("another", hashlib.sha256(b"eight").digest(), 88)], "tokenizer string, digest binary, n_tokens long")
+    wrong.write.mode("append").parquet(path)  # a stored count is believed, that of another tokenizer isn't
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs([(1, "seven"), (2, "eight")]), BYTES, path).collect()} == {1: 77, 2: 1}
+    before = spark.read.parquet(path).count()
+    fill_cache(docs(rows), BYTES, path)
+    assert spark.read.parquet(path).count() == before
+
+
+def test_the_query_goes_through_a_cache_that_holds_half(spark, tmp_path, docs, monkeypatch):
+    from millrace.llm import registry, tokencounts
+
+    asked = []
+    real = tokencounts._encoded
+    monkeypatch.setattr(tokencounts, "_encoded", lambda *a: asked.append(real(*a)) or asked[-1])
+    rows = [(i, f"text number {i % 30}") for i in range(60)] + [(99, None)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.op10_tokencounts(spark, str(tmp_path))
+    assert sorted((str(r[0]), *r[1:]) for r in got.collect()) == counted(rows)
+    (_, first), (known, made) = asked
+    half = {zlib.crc32(t.encode()) % 2 == 0 for _, t in rows if t}
+    assert half == {True, False} and first.count() == known.count() > 0 and made.count() > 0
+    assert first.count() + made.count() == 31
