@@ -1,19 +1,24 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Two scans, neither of which shuffles a whole text:
-1. every word n-gram of an item is a seed, however common it is: how often it
-   occurs says nothing about the item, since copies count too. The seeds go
-   into a bitmap of bounded size;
+1. an item's word n-grams are its seeds. Rare ones, which at most RARE items
+   hold, open pairs of a document and an item; so do, of every run of SPAN
+   n-grams without any rare one, those that fewest items hold. How often a
+   document holds a seed says nothing about its rarity, since copies count
+   too. All seeds go into a bitmap of bounded size;
 2. documents are scanned for seeds, and the words around them come out as hash
    windows, with the seeds and their places, which then join the items
    exactly. From a seed, a window reaches as far as an alignment with one of
-   the seed's items can reach if it is to count.
+   the seed's items can reach if it is to count. Seeds that many items share
+   are joined only for pairs that others have opened, so that a phrase which
+   all items share doesn't multiply items by documents.
 
 The seeds of an item in a window make stretches, whose words, cut to the item's
 own reach, are aligned with it. An alignment's score is divided by
 that of the item with itself; from THRESHOLD on, the document holds a copy,
 also if words were replaced, dropped or put in, as long as one run of N words
-is left.
+is left that opens the pair. What the choice of seeds loses is a copy of which
+nothing is left but a part shorter than SPAN n-grams that over RARE items share.
 """
 
 from __future__ import annotations
@@ -29,6 +34,8 @@ from millrace.llm.shared import stored
 from millrace.llm.wordhash import aligned_spans, bitmap, gram_hashes, text_hashes
 
 N, THRESHOLD = 3, 0.5
+#: Items that may hold a rare seed, and consecutive n-grams of an item of which at least one opens pairs.
+RARE, SPAN = 16, 8
 MATCH = 2
 #: Bits of the bitmap for each seed, as far as its largest size goes.
 SPARSE = 4096
@@ -41,7 +48,7 @@ def _item_words(n: int):
         for batch in batches:
             words = text_hashes(batch.column(1).to_pylist())
             longs = lambda rows: pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), longs(words), longs([np.unique(gram_hashes(w, n)) for w in words])], names=["item_id", "item", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), longs(words), longs([gram_hashes(w, n) for w in words])], names=["item_id", "item", "grams"])
 
     return split
 
@@ -86,6 +93,35 @@ def _reaches(seeds: DataFrame) -> np.ndarray:
     return out
 
 
+def seeds_of(own: DataFrame, rare: int = RARE, span: int = SPAN) -> DataFrame:
+    """(item_no, reach, gram, common, opens) of the items' (item_no, reach, grams in order) distinct n-grams: whether over ``rare`` items hold it, and whether it opens pairs."""
+    placed = stored(own.select("item_no", "reach", F.size("grams").alias("size"), F.posexplode("grams").alias("pos", "gram")), "grams")
+    held = placed.select("gram", "item_no").distinct().groupBy("gram").agg(F.count("*").alias("items"))
+    # a gram of very many items is split by this join, as nothing is summed behind it
+    placed = placed.join(stored(held, "gram-items"), "gram")
+    ahead = Window.partitionBy("item_no").orderBy("pos").rowsBetween(0, span - 1)
+    whole = (F.col("pos") == 0) | (F.col("pos") <= F.col("size") - span)
+    least = placed.withColumn("least", F.min(F.struct("items", "gram")).over(ahead)).where(whole & (F.col("least.items") > rare))
+    chosen = least.select("item_no", F.col("least.gram").alias("gram")).distinct().withColumn("chosen", F.lit(True))
+    distinct = placed.select("item_no", "reach", "gram", (F.col("items") > rare).alias("common")).distinct()
+    return distinct.join(chosen, ["item_no", "gram"], "left").select("item_no", "reach", "gram", "common", (~F.col("common") | F.coalesce("chosen", F.lit(False))).alias("opens"))
+
+
+def seed_hits(windows: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(window, item_no, reach, place) of all seeds of the items in the windows that an opening seed stands in. Only places and seeds are multiplied, never words."""
+    places = windows.select("window", F.explode(F.arrays_zip("places", "grams")).alias("hit")).select("window", F.col("hit.places").alias("place"), F.col("hit.grams").alias("gram"))
+    hits = places.join(seeds.where("not common").select("gram", "item_no", "reach"), "gram").select("window", "item_no", "reach", "place")
+    common = seeds.where("common")
+    if common.isEmpty():
+        return hits
+    hits = stored(hits, "rare-hits")
+    by_common = places.join(common.where("opens").select("gram", "item_no"), "gram").select("window", "item_no")
+    opened = stored(hits.select("window", "item_no").union(by_common).distinct(), "opened")
+    there = places.join(common.select("gram").distinct(), "gram", "left_semi")
+    more = there.join(opened, "window").join(common.select("gram", "item_no", "reach"), ["item_no", "gram"])
+    return hits.union(more.select("window", "item_no", "reach", "place"))
+
+
 def _aligned(threshold: float):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,14 +155,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     # with match 2 and gap -1, an alignment that counts has put in at most 2 (1 - threshold) words for each word of the item
     reach = F.ceil(F.lit(3 - 2 * threshold) * F.size("item")).cast("long")
     own = stored(own.select("item_id", "item", "grams", reach.alias("reach"), F.monotonically_increasing_id().alias("item_no")), "items")
-    seeds = stored(own.select("item_no", "item_id", "reach", F.explode("grams").alias("gram")), "seeds")
+    seeds = stored(seeds_of(own), "seeds")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     seen = sc.broadcast((bitmap(seeds.select("gram").distinct(), "gram", SPARSE), _reaches(seeds)))  # 33 MB at most
     windows = texts.mapInArrow(_windows(seen, n), "doc_id long, text_hash long, at long, words array<long>, places array<long>, grams array<long>")
     windows = stored(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
-    # only places and seeds are multiplied, never words
-    hits = windows.select("window", F.explode(F.arrays_zip("places", "grams")).alias("hit")).select("window", "hit.places", "hit.grams")
-    hits = hits.join(seeds.select(F.col("gram").alias("grams"), "item_no", "reach"), "grams").select("window", "item_no", "reach", F.col("places").alias("place"))
+    hits = seed_hits(windows, seeds)
     # stretches of an item's seeds that reach each other
     run = Window.partitionBy("window", "item_no").orderBy("place")
     fresh = F.coalesce(F.col("place") - F.lag("place").over(run) > 2 * F.col("reach") + n, F.lit(False)).cast("int")

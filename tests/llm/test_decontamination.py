@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.decontamination import contaminated
+from millrace.llm.decontamination import SPAN, contaminated
 from millrace.llm.wordhash import aligned_spans, text_hashes, word_hashes, words_of
 
 
@@ -145,3 +145,63 @@ def test_hashes_are_one_to_one_with_words():
     pairs = {(w, int(h)) for t, hashes in zip(texts, got) for w, h in zip(words_of(t), hashes)}
     assert len({w for w, _ in pairs}) == len({h for _, h in pairs}) == len(pairs)
     assert text_hashes(["one"])[0].tolist() == text_hashes(["x", "two one"])[1][1:].tolist() == word_hashes(["one"]).tolist()
+
+
+def stemmed(n, rng):
+    """n items and n documents that share a phrase of eight words, and a document with a copy of every tenth item."""
+    stem = "which of the following statements is most nearly"
+    own = lambda k: " ".join(f"{k}{rng.randint(0, 10**6)}" for _ in range(14))
+    bench = [(i, f"{stem} {own('q')}") for i in range(n)]
+    rows = [(i, f"{own('d')} {stem} {own('d')}") for i in range(n)]
+    return bench, rows + [(n + i, f"{own('d')} {edited(rng, bench[i][1], 0.1)} {own('d')}") for i in range(0, n, 10)]
+
+
+def test_a_phrase_that_items_share_does_not_multiply_them_by_documents(docs, spark, monkeypatch):
+    import millrace.llm.decontamination as module
+
+    made = []
+    real = module.seed_hits
+    monkeypatch.setattr(module, "seed_hits", lambda *a: made.append(real(*a)) or made[-1])
+    sizes = {}
+    for n in (100, 400):
+        bench, rows = stemmed(n, random.Random(n))
+        got = contaminated(docs(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(n + i, i) for i in range(0, n, 10)}
+        sizes[n] = made[-1].count()
+    assert sizes[400] <= 5 * sizes[100] < 5 * 10 * 22  # places of the copies alone
+
+
+def test_long_shared_stretches_still_open_pairs(docs, spark):
+    """30 items that differ in three words of forty: their rarest shared n-grams open pairs, so copies of the shared part are found in all of them, as by alignment of all pairs, but for those without a run of SPAN n-grams."""
+    rng = random.Random(14)
+    words = [f"q{i}" for i in range(40)]
+    bench = []
+    for i in range(30):
+        own = list(words)
+        for k in rng.sample(range(40), 3):
+            own[k] = f"own{i}x{k}"
+        bench.append((i, " ".join(own)))
+    rows = [(0, " ".join(words)), (1, f"{fill(rng, 20)} {' '.join(words[5:37])} {fill(rng, 9)}"), (2, bench[3][1]), (3, " ".join(words[:9])), (4, fill(rng, 50))]
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(docs(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in rows:
+        for i, item in bench:
+            score = slow_score(words_of(item), words_of(text)) / 80
+            if score >= 0.5:
+                want[d, i] = score
+    run = SPAN + 2
+    runs = lambda t: {" ".join(words_of(t)[k : k + run]) for k in range(len(words_of(t)) - run + 1)}
+    lost = {(d, i) for d, i in want if not runs(rows[d][1]) & runs(bench[i][1])}
+    assert set(want) - lost <= set(got) <= set(want) and len(want) - len(lost) > 80 and len(set(want) - set(got)) <= 1
+    assert got == pytest.approx({k: want[k] for k in got})
+
+
+def test_seeds_that_open_pairs(spark):
+    """Rare ones do; of a run without any, those that fewest items hold."""
+    from millrace.llm.decontamination import seeds_of
+
+    own = spark.createDataFrame([(i, 5, [1, 2, 3, 100 + i, 4]) for i in range(4)] + [(9, 5, [1, 2, 3, 4, 5]), (10, 5, [2])], "item_no long, reach long, grams array<long>")
+    got = {(r.item_no, r.gram): (r.common, r.opens) for r in seeds_of(own, rare=1, span=3).collect()}
+    assert all(got[i, 100 + i] == (False, True) for i in range(4)) and got[9, 5] == (False, True)
+    assert got[0, 1] == (True, True) and got[0, 2] == (True, False)  # 1 and 3 are held by five items, 2 by six
+    assert got[9, 1][1] and got[10, 2] == (True, True)  # an item of common ones only is opened by these
