@@ -1,23 +1,29 @@
 """Personal data: base spans by pattern, and information-theoretic sanitisation. DataFrame functions only.
 
-Base spans are e-mail and IP addresses, card and phone numbers. Their values
-are the protected entities. A term (a word of three letters or more) next to an
-entity may give it away even when the entity itself is taken out. How strongly
-it does is estimated over the whole corpus, counted in distinct texts:
+Base spans are e-mail and IP addresses, card and phone numbers. Secrets (what
+is given to a name like ``token`` or ``password``) are spans of the method.
+All their values are the protected entities. A term (a word, number or mixed
+token of three signs or more) next to an entity may give it away even when the
+entity itself is taken out. How strongly it does is estimated over the whole
+corpus, counted in distinct texts:
 
     IC(e) = -log2(n(e) / N),   PMI(e; t) = log2(N n(e, t) / (n(e) n(t)))
 
 where n(e, t) counts the texts in which t stands within WINDOW words of e, be
-they far off or parts of other entities (words are runs of letters). If
-PMI reaches RISK times IC, t discloses e, and t is a span wherever it occurs
-in a text that holds e. It is removed if it discloses e fully (PMI = IC), else
-generalised: a capitalised word to [NAME], any other to [WORD].
+they far off or parts of other entities (words are runs of letters and
+digits). If PMI reaches RISK times IC, t discloses e, and t is a span wherever
+it occurs in a text that holds e. It is removed if it discloses e fully
+(PMI = IC), else generalised: a number to the range of its magnitude, a mixed
+token to [CODE], a capitalised word to [NAME], any other to [WORD].
 
 Nothing can be estimated from fewer than SUPPORT texts. An entity that fewer
 hold is counted with those that are rare like it and of its class: an e-mail
 address by its domain, an IP address by its first three parts, a card by its
-first six digits, a phone number by its first four. Classes and pairs that are
-still rarer than SUPPORT are left alone.
+first six digits, a phone number by its first four. Classes that fewer hold are
+counted by their kind, as all secrets are that fewer hold: then a term
+discloses that an entity of the kind stands there. So every entity is
+protected, unless its kind itself is in fewer than SUPPORT texts; pairs of
+fewer texts are left alone.
 
 Pairs are only counted within windows, so a text with many entities gives rows
 in proportion to its length. The patterns cannot backtrack over long runs:
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import stored
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "secret", "term")
 _LOCAL = "A-Za-z0-9._%+-"
 # Anchored to the start of a run, or to the end of the match before; quantifiers are possessive where that changes nothing.
 PATTERNS = {
@@ -40,8 +46,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+# What a secret is given to; the texts that may hold one are told by the first pattern, then the value by what stands before it.
+_NAMES = r"(?i)(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)"
+_GIVEN = _NAMES + r"[\"']?[ \t]{0,3}[:=]"
+SECRET = rf"(?<={_NAMES}[\"']?[ \t]{{0,3}}[:=][ \t]{{0,3}}[\"']?)(?-i:[A-Za-z0-9_/+-]{{8,}}+)"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_WORDS = r"\p{L}++"
+_WORDS = r"[\p{L}\p{N}]++"
 WINDOW, SUPPORT, RISK = 10, 3, 0.9
 #: Elements of a block of the two-level running sum.
 _BLOCK = 64
@@ -115,7 +125,7 @@ def _first(words: Column, test) -> Column:
 
 
 def _window_terms(words: Column, start: Column, end: Column) -> Column:
-    """Lower-cased words of three letters or more among the WINDOW words before ``start`` and those after ``end``; a word that the entity runs into ends there."""
+    """Lower-cased words of three signs or more among the WINDOW words before ``start`` and those after ``end``; a word that the entity runs into ends there."""
     before = _let(_first(words, lambda w: w["start"] >= start), lambda k: F.slice(words, F.greatest(k - WINDOW, F.lit(0)) + 1, F.least(k, F.lit(WINDOW))))
     after = _let(_first(words, lambda w: w["end"] > end), lambda k: F.slice(words, k + 1, WINDOW))
     left = F.transform(before, lambda w: F.when(w["end"] > start, F.left(w["value"], (start - w["start"]).cast("int"))).otherwise(w["value"]))
@@ -153,18 +163,21 @@ def _mentions_of(kind: str, words: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (of the text), base (spans by kind, then start), mentions (entity and the terms around it)."""
+    """doc_id, digest (of the text), sha256 (of the text), base (spans by kind, then start), secrets (likewise), mentions (entity and the terms around it), text (null without mentions)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hint = {"email": "@", "phone": "+", "ip": "."}
+    hint = {"email": F.contains("text", F.lit("@")), "phone": F.contains("text", F.lit("+")), "ip": F.contains("text", F.lit("."))}
     for kind, pattern in PATTERNS.items():
         found = _placed(F.col("text"), pattern)
         if kind in hint:
-            found = F.when(F.contains("text", F.lit(hint[kind])), found)
+            found = F.when(hint[kind], found)
         rows = rows.withColumn(kind, _valid(found, kind))
-    some = F.greatest(*[F.coalesce(F.size(kind), F.lit(0)) for kind in PATTERNS]) > 0
+    given = (F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))) & F.rlike("text", F.lit(_GIVEN))
+    rows = rows.withColumn("secret", F.when(given, _placed(F.col("text"), SECRET)))
+    kinds = [*PATTERNS, "secret"]
+    some = F.greatest(*[F.coalesce(F.size(kind), F.lit(0)) for kind in kinds]) > 0
     spans = [_spans_of(k) for k in PATTERNS]
-    mentions = F.when(some, _let(_placed(F.col("text"), _WORDS), lambda words: F.concat(*[_mentions_of(k, words) for k in PATTERNS]))).otherwise(F.array().cast(_MENTION))
-    return rows.select("doc_id", F.md5("text").alias("digest"), F.concat(*spans).alias("base"), mentions.alias("mentions"))
+    mentions = F.when(some, _let(_placed(F.col("text"), _WORDS), lambda words: F.concat(*[_mentions_of(k, words) for k in kinds]))).otherwise(F.array().cast(_MENTION))
+    return rows.select("doc_id", F.md5("text").alias("digest"), F.sha2("text", 256).alias("sha256"), F.concat(*spans).alias("base"), _spans_of("secret").alias("secrets"), mentions.alias("mentions"), F.when(some, F.col("text")).alias("text"))
 
 
 def _class(entity: Column) -> Column:
@@ -173,16 +186,24 @@ def _class(entity: Column) -> Column:
         F.when(F.startswith(entity, F.lit("email:")), F.concat(F.lit("email:@"), F.substring_index(entity, "@", -1)))
         .when(F.startswith(entity, F.lit("ip:")), F.regexp_replace(entity, r"[0-9]+$", "*"))
         .when(F.startswith(entity, F.lit("card:")), F.concat(F.substring(entity, 1, len("card:") + 6), F.lit("*")))
-        .otherwise(F.concat(F.substring(entity, 1, len("phone:") + 4), F.lit("*")))
+        .when(F.startswith(entity, F.lit("phone:")), F.concat(F.substring(entity, 1, len("phone:") + 4), F.lit("*")))
+        .otherwise(_kind(entity))
     )
 
 
+def _kind(entity: Column) -> Column:
+    return F.concat(F.substring_index(entity, ":", 1), F.lit(":*"))
+
+
 def counted_mentions(found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(digest, entity, terms) of all mentions; rare entities by their class."""
+    """(digest, entity, terms) of all mentions; rare entities by their class, and those of rare classes by their kind."""
     mentioned = found.where(F.size("mentions") > 0).select("digest", F.explode("mentions").alias("m")).select("digest", "m.entity", "m.terms")
-    texts = mentioned.select("entity", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    held = mentioned.select("entity", "digest").distinct()
+    texts = held.groupBy("entity").agg(F.count("*").alias("n_e"))
     # only rare ones are joined, so that an entity of many texts is no hot group of an aggregate
     rare = stored(texts.where(F.col("n_e") < support).select("entity", _class(F.col("entity")).alias("class")), "pii-rare")
+    classes = held.join(rare, "entity").select("class", "digest").distinct().groupBy("class").agg(F.count("*").alias("n_c")).where(F.col("n_c") < support)
+    rare = stored(rare.join(classes, "class", "left").select("entity", F.when(F.col("n_c").isNull(), F.col("class")).otherwise(_kind(F.col("class"))).alias("class")), "pii-classes")
     return mentioned.join(rare, "entity", "left").select("digest", F.coalesce("class", "entity").alias("entity"), "terms")
 
 
@@ -204,20 +225,20 @@ def disclosing_terms(mentioned: DataFrame, total: DataFrame, docs: DataFrame, te
     around = near.select("term", "digest").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     share = lambda n: F.log2("n_et") - F.log2(n)
     pairs = stored(pairs.join(around, "term").where(share("n_near") >= floor).select("entity", "ic", "term", "n_et"), "pii-pairs")
-    words = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"\p{L}{3,}+"), F.lit(0)))).alias("term"))
+    words = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}]{3,}+"), F.lit(0)))).alias("term"))
     spread = words.join(pairs.select("term").distinct(), "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     return pairs.join(spread, "term").where(share("n_t") >= floor).select("entity", "term", F.when(F.col("n_et") >= F.col("n_t"), "remove").otherwise("generalise").alias("action"))
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, risk: float = RISK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, digest, base, spans; base and spans are arrays of (kind, start, end, action).
+    """One row per row of ``docs``: doc_id, digest, base, spans, text, sha256; base and spans are arrays of (kind, start, end, action), text is null where nothing was found, sha256 that of the whole text.
 
     Positions are code points, ends exclusive; spans are base spans by kind in
-    the order of KINDS, then start, with the terms last. Null texts are empty;
-    null ids and repeated rows keep their rows, and copies of a text count
-    once; texts of any length are read whole. A PMI that equals the bound
-    counts. Other columns are ignored, whatever their names; an empty table
-    gives an empty result.
+    the order of KINDS, then start, then secrets, and the terms last. Null
+    texts are empty; null ids and repeated rows keep their rows, and copies of
+    a text count once; texts of any length are read whole. A PMI that equals
+    the bound counts. Other columns are ignored, whatever their names; an empty
+    table gives an empty result.
     """
     found = stored(base_spans(docs, id_col, text_col), "pii-base")
     mentioned = stored(counted_mentions(found, support), "pii-mentions")
@@ -227,40 +248,51 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the strongest action that any entity of the text asks for
     marked = held.join(terms, "entity").groupBy("digest", "term").agg(F.max(F.col("action") == "remove").alias("gone")).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "gone"))).alias("terms"))
     marked = stored(marked, "pii-marked")  # so that its size is known before texts would be shuffled to it
-    texts = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hit = texts.join(marked, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+    hit = found.where("text IS NOT NULL").select("digest", "text").join(marked, "digest").groupBy("digest").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
     own = F.filter(_placed(F.col("text"), _WORDS), lambda m: F.map_contains_key(F.col("terms"), F.lower(m["value"])))
     spans = F.transform(own, lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["end"].alias("end"), F.when(F.element_at(F.col("terms"), F.lower(m["value"])), "remove").otherwise("generalise").alias("action")))
     extra = stored(hit.select("digest", spans.cast(_SPAN).alias("extra")), "pii-extra")
-    # a term inside a base span goes with it
-    free = F.filter("extra", lambda t: ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.join(extra, "digest", "left").select("doc_id", "digest", "base", F.concat("base", F.coalesce(free, F.array().cast(_SPAN))).alias("spans"))
+    # a term inside another span goes with it
+    fixed = F.concat("base", "secrets")
+    free = F.filter("extra", lambda t: ~F.exists(F.col("fixed"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    met = found.withColumn("fixed", fixed).join(extra, "digest", "left")
+    return met.select("doc_id", "digest", "base", F.concat("fixed", F.coalesce(free, F.array().cast(_SPAN))).alias("spans"), "text", "sha256")
 
 
 def span_digests(spans: DataFrame) -> DataFrame:
-    """Counts by kind, the digest of the base spans and all spans, as text."""
+    """Counts by kind, the digest of the base spans, all spans as text, counts of secrets and of what happens to terms, and the digest of the sanitised text."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return spans.select("doc_id", *[count(k) for k in PATTERNS], F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"))
+    done = lambda a, name: F.size(F.filter("spans", lambda s: s["action"] == a)).cast("long").alias(name)
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    clean = F.when(F.size("spans") > 0, F.sha2(_without(F.col("text"), F.col("spans")), 256)).otherwise(F.col("sha256")).alias("sanitised_sha256")
+    return spans.select("doc_id", *[count(k) for k in PATTERNS], F.sha2(_shown(F.col("base")), 256).alias("base_sha256"), _shown(F.col("spans")).alias("spans"), secrets, done("remove", "n_removed"), done("generalise", "n_generalised"), clean)
 
 
-def sanitised(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text): base spans replaced by their kind in brackets, generalised terms by [NAME] or [WORD], removed terms left out.
+def _general(term: Column) -> Column:
+    """What a term is generalised to."""
+    size = F.length(term)
+    span = F.concat(F.lit("[1"), F.repeat(F.lit("0"), size - 1), F.lit("-"), F.repeat(F.lit("9"), size), F.lit("]"))
+    number, mixed = F.regexp_like(term, F.lit(r"^[0-9]+$")), F.regexp_like(term, F.lit(r"\p{N}"))
+    return F.when(number, span).when(mixed, "[CODE]").when(F.regexp_like(term, F.lit(r"^\p{Lu}")), "[NAME]").otherwise("[WORD]")
 
-    Where spans overlap, the one that starts first (then the longer) counts.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"))
-    by_text = spans.groupBy("digest").agg(F.first("spans").alias("spans"))
-    joined = rows.join(by_text, "digest", "left")
-    order = F.array_sort(F.transform(F.coalesce("spans", F.array().cast(_SPAN)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("upto"), s["kind"].alias("kind"), s["action"].alias("action"))))
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with its spans replaced, or taken out. Where spans overlap, the one that starts first (then the longer) counts."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("upto"), s["kind"].alias("kind"), s["action"].alias("action"))))
 
     def step(state: Column, s: Column) -> Column:
-        own = F.substring(F.col("text"), (s["start"] + 1).cast("int"), F.lit(1))
-        general = F.when(F.regexp_like(own, F.lit(r"\p{Lu}")), "[NAME]").otherwise("[WORD]")
-        label = F.when(s["action"] == "remove", "").when(s["action"] == "generalise", general).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        ahead = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+        own = F.substring(text, (s["start"] + 1).cast("int"), (-s["upto"] - s["start"]).cast("int"))
+        label = F.when(s["action"] == "remove", "").when(s["action"] == "generalise", _general(own)).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        ahead = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         return F.when(s["start"] >= state["at"], F.struct(F.concat(state["out"], ahead, label).alias("out"), (-s["upto"]).alias("at"))).otherwise(state)
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate(order, start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    return joined.select("doc_id", done.alias("text"))
+    return F.aggregate(order, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+
+
+def sanitised(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text): base spans and secrets replaced by their kind in brackets, terms generalised or left out."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"))
+    by_text = spans.groupBy("digest").agg(F.first("spans").alias("spans"))
+    return rows.join(by_text, "digest", "left").select("doc_id", _without(F.col("text"), F.coalesce("spans", F.array().cast(_SPAN))).alias("text"))
