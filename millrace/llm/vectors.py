@@ -33,6 +33,8 @@ from millrace.llm.shared import stored
 SAMPLE, BLOCK, RECALL = 20_000, 2048, 0.98
 #: Codewords of a half at most: a fifth of the sample, so that each has some vectors to stand for.
 LARGEST = SAMPLE // 5
+#: Distances to codewords that are held at once: 8 MB.
+CELLS = 1 << 20
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -47,13 +49,20 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
+def _slices(rows: int, words: int) -> Iterator[slice]:
+    """Parts of ``rows`` whose distances to ``words`` codewords take CELLS numbers at most."""
+    step = max(1, CELLS // max(1, words))
+    for first in range(0, rows, step):
+        yield slice(first, first + step)
+
+
 def _codebook(v: np.ndarray, k: int, rng, rounds: int = 12) -> np.ndarray:
     words = v[rng.choice(len(v), k, replace=False)].copy()
     for _ in range(rounds):
-        near = _distances(v, words).argmin(axis=1)
-        for j in range(k):
-            if (own := near == j).any():
-                words[j] = v[own].mean(axis=0)
+        near = np.concatenate([_distances(v[part], words).argmin(axis=1) for part in _slices(len(v), k)])
+        order = np.argsort(near, kind="stable")
+        used, first, sizes = np.unique(near[order], return_index=True, return_counts=True)
+        words[used] = np.add.reduceat(v[order], first, axis=0) / sizes[:, None]
     return words
 
 
@@ -74,11 +83,12 @@ class MultiIndex:
         turn -= (turn * sample).sum(axis=1, keepdims=True) * sample
         turn /= np.maximum(np.linalg.norm(turn, axis=1, keepdims=True), 1e-300)
         partner = threshold * sample + np.sqrt(1 - threshold**2) * turn
-        a, b = self.halves(sample)
-        pa_, pb = self.halves(partner)
-        n = np.arange(len(sample))
-        gap = a[n, pa_.argmin(axis=1)] + b[n, pb.argmin(axis=1)] - a.min(axis=1) - b.min(axis=1)
-        self.slack = float(np.quantile(gap, recall)) + 1e-12
+        gaps = []
+        for part in _slices(len(sample), self.k):
+            (a, b), (pa_, pb) = self.halves(sample[part]), self.halves(partner[part])
+            n = np.arange(len(a))
+            gaps.append(a[n, pa_.argmin(axis=1)] + b[n, pb.argmin(axis=1)] - a.min(axis=1) - b.min(axis=1))
+        self.slack = float(np.quantile(np.concatenate(gaps), recall)) + 1e-12
 
     def halves(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(v[:, : self.half], self.words[0]), _distances(v[:, self.half :], self.words[1])
@@ -152,8 +162,9 @@ def link_vectors(classes: DataFrame, index: MultiIndex, threshold: float, block:
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = shared.value.halves(_matrix(batch.column(2)))
-                cells = [shared.value.visits(x, y) for x, y in zip(a, b, strict=True)]
+                v, cells = _matrix(batch.column(2)), []
+                for part in _slices(len(v), shared.value.k):
+                    cells += [shared.value.visits(x, y) for x, y in zip(*shared.value.halves(v[part]), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["cid", "copies", "vec", "visited"])
 
     placed = stored(classes.select("cid", "copies", "vec").mapInArrow(visit, f"cid long, copies long, vec {kind}, visited array<int>"), "vector-cells")

@@ -106,3 +106,23 @@ def test_ties_and_integers(spark):
     rows = [(1, [1, 0]), (2, [19, int(np.sqrt(400 - 361) * 1)]), (3, [2, 0])]
     got = {r.vec_id: r.component_id for r in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<int>")).collect()}
     assert got[1] == got[3] == 1
+
+
+def test_the_largest_codebooks_are_fitted_in_little_memory():
+    """All 20,000 sample vectors and 4,000 codewords a half: far below the 1.2 GB of one matrix of distances."""
+    import tracemalloc
+
+    from millrace.llm import vectors
+
+    gen = np.random.default_rng(3)
+    v = gen.normal(size=(vectors.SAMPLE, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    index = MultiIndex(v, vectors.LARGEST, 0.95, 0.98)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.k == 4000 and most < 100e6
+    near = [((v[:50, None, h] - index.words[k][None]) ** 2).sum(axis=2).argmin(axis=1) for k, h in enumerate((slice(0, 4), slice(4, 8)))]
+    a, b = index.halves(v[:50])
+    assert (a.argmin(axis=1) == near[0]).all() and (b.argmin(axis=1) == near[1]).all()
+    assert [index.visits(x, y)[0] for x, y in zip(a, b)] == (near[0] * index.k + near[1]).tolist()
