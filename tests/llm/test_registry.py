@@ -39,7 +39,7 @@ TYPES = {
     "op6_vectors": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op7_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op8_tokenfiles": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
-    "op9_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op9_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_secret bigint, n_removed bigint, n_generalised bigint, sanitised_sha256 string",
     "op10_tokencounts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op11_urlrules": "page_id bigint, host string, path string, rule string, verdict string",
     "op12_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
