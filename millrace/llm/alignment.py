@@ -31,8 +31,12 @@ that remembers the groups of recurring units.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from pathlib import Path
 
 import numpy as np
@@ -40,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.encoding import Encoder, Memo
+from millrace.llm.encoding import Memo
 from millrace.llm.shared import stored
 
 #: What some tokenizer may take for white space; U+2581 stands for a blank in piece vocabularies.
@@ -48,6 +52,10 @@ BLANKS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\
 CUT = f"(?<=[^{BLANKS}])(?=\\x20[^{BLANKS}])"
 _CUT = re.compile(CUT)
 _ODD = re.compile(f"[{BLANKS}][{BLANKS}]|\\A[{BLANKS}]|[{BLANKS}]\\Z")
+#: Stands for the tokens of a unit that a tokenizer doesn't give back.
+NONE = -1
+#: How byte-level pre-tokenizers cut a text (a fixed value).
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Units of more bytes go by their digest.
 KEY_BYTES = 32
 #: A unit is frequent if more than one in so many occurrences is of it.
@@ -55,7 +63,7 @@ FREQUENT = 1 << 16
 #: Bytes up to which a table of id pairs is broadcast.
 BROADCAST = 64 << 20
 #: Units that a worker remembers, in each of two generations.
-MEMO = 200_000
+MEMO = 300_000
 
 
 def units_of(text: str) -> list[str]:
@@ -71,42 +79,64 @@ class Pair:
     def __init__(self, bytes_json: str, pieces_model: bytes):
         import sentencepiece
 
-        self.a = Encoder(bytes_json, memo=MEMO)
-        if self.a.kind != "bytes":
-            raise ValueError("the first tokenizer must be byte-level BPE")
-        self.a.library.encode_special_tokens, self.a.special = True, []
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = {c: bytes([i]) for i, c in enumerate(_byte_letters())}
-        vocabulary = self.a.library.get_vocab(with_added_tokens=True)
+        vocabulary = _byte_level(json.loads(bytes_json))
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
             self.a_bytes[i] = b"".join(own.get(c, c.encode()) for c in piece)
+        self.a = _byte_encoder(bytes_json, self.a_bytes)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces_model)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second tokenizer has pieces that go over a blank")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_sizes, self.b_sizes = ([len(x) for x in t] for t in (self.a_bytes, self.b_bytes))
+        self.a_shown, self.b_shown = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
 
     def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
         pieces = self.b.encode([u[1:] for u in units], num_threads=1)
-        for unit, raw, b in zip(units, self.a.batch(units), pieces, strict=True):
-            a, whole = np.frombuffer(raw, "<u4").tolist(), unit.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == whole and b"".join([self.b_bytes[i] for i in b]) == whole
-            yield (a, b) if same else None
+        for unit, a, b in zip(units, self.a(units), pieces, strict=True):
+            whole = unit.encode()
+            yield (a, b) if b"".join(map(a_bytes, a)) == whole == b"".join(map(b_bytes, b)) else None
 
     def shown(self, a: list[int], b: list[int]) -> str:
         """The groups of a unit, as ``a1,a2|b1;a3|b2,b3``."""
-        out, i, j, x, y, first, second = [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            x, i = x + self.a_sizes[a[i]], i + 1
-            while y < x:
-                y, j = y + self.b_sizes[b[j]], j + 1
-            if x == y:
-                out.append(f"{','.join(map(str, a[first:i]))}|{','.join(map(str, b[second:j]))}")
-                first, second = i, j
+        at = dict(zip(accumulate(map(self.a_sizes.__getitem__, a)), range(1, len(a) + 1)))
+        x, y = [*map(self.a_shown.__getitem__, a)], [*map(self.b_shown.__getitem__, b)]
+        out, i, j = [], 0, 0
+        for k, end in enumerate(accumulate(map(self.b_sizes.__getitem__, b)), 1):
+            if n := at.get(end):
+                out.append(f"{','.join(x[i:n])}|{','.join(y[j:k])}")
+                i, j = n, k
         return ";".join(out)
 
 
+def _byte_level(spec: dict) -> dict[str, int]:
+    """The vocabulary of a byte-level BPE file, its added tokens too."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model", {})
+    if model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("end_of_word_suffix"):
+        raise ValueError("the first tokenizer must be byte-level BPE")
+    return model["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+
+
+def _byte_encoder(bytes_json: str, names: list[bytes]) -> Callable[[list[str]], list[list[int]]]:
+    """Ids of units, special strings as plain text. A file whose ids are in the order of its merges is one of ranks too, which another library encodes several times as fast."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    spec = json.loads(bytes_json)
+    merges, vocabulary = spec["model"]["merges"], spec["model"]["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    if len(vocabulary) == 256 + len(pairs) and all(vocabulary.get(x + y) == 256 + i for i, (x, y) in enumerate(pairs)):
+        ranked = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks={names[i]: i for i in vocabulary.values()}, special_tokens={})
+        return lambda units: [ranked.encode_ordinary(u) for u in units]
+    library = Tokenizer.from_str(bytes_json)
+    library.encode_special_tokens = True
+    return lambda units: [e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)]
+
+
 def _byte_letters() -> list[str]:
     """The letters that byte-level vocabularies write for the 256 bytes: printable Latin-1 for itself, the others from U+0100 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -115,6 +145,7 @@ def _byte_letters() -> list[str]:
 
 
 _made: dict[int, Pair] = {}
+_memos: dict[str, Memo] = {}
 
 
 def _pair(bytes_json: str, pieces_model: bytes) -> Pair:
@@ -126,6 +157,14 @@ def _pair(bytes_json: str, pieces_model: bytes) -> Pair:
     return _made[key]
 
 
+def _memo(call: str) -> Memo:
+    """What a worker remembers of units, for one call of ``alignments``; it outlives tasks."""
+    if call not in _memos:
+        _memos.clear()
+        _memos[call] = Memo(MEMO)
+    return _memos[call]
+
+
 def _key(unit):
     return F.when(F.octet_length(unit) <= KEY_BYTES, unit).otherwise(F.sha2(unit, 256))
 
@@ -136,9 +175,10 @@ def _exploded(rows: DataFrame, *also) -> DataFrame:
 
 
 def align_units(units: DataFrame) -> DataFrame:
-    """(key, n, a, b, ends_a, ends_b) a row for every link of the units (key, n, a, b), where a and b are arrays of (id, size) of equal total size; ``ends_a`` and ``ends_b`` say which of the two tokens end with the link, and both together a cut."""
-    sides = F.concat(F.transform("a", lambda t: F.struct(F.lit(0).alias("side"), t["id"].alias("id"), t["size"].alias("size"))), F.transform("b", lambda t: F.struct(F.lit(1).alias("side"), t["id"].alias("id"), t["size"].alias("size"))))
-    tokens = units.repartition("key").select("key", "n", F.posexplode(sides).alias("pos", "t")).select("key", "n", "pos", "t.*")
+    """(key, n, a, b, ends_a, ends_b) a row for every link of the units (key, n, a, a_sizes, b, b_sizes), of ids and sizes in bytes that sum up alike; rows should be dealt by key already; ``ends_a`` and ``ends_b`` say which of the two tokens end with the link, and both together a cut."""
+    one = lambda ids, sizes, side: F.transform(ids, lambda t, i: F.struct(F.lit(side).alias("side"), t.alias("id"), F.get(sizes, i).alias("size")))
+    sides = F.concat(one("a", F.col("a_sizes"), 0), one("b", F.col("b_sizes"), 1))
+    tokens = units.select("key", "n", F.posexplode(sides).alias("pos", "t")).select("key", "n", "pos", "t.*")
     upto = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = tokens.withColumn("end", F.sum("size").over(upto))
     id_of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
@@ -173,32 +213,31 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*files.value)
-        kind = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                found = list(pair.encode(part.column(2).to_pylist()))
-                columns = []
+                found, lists = list(pair.encode(part.column(2).to_pylist())), []
                 for side, sizes in ((0, pair.a_sizes), (1, pair.b_sizes)):
-                    ids = [f[side] if f else [] for f in found]
+                    ids = [f[side] if f else [NONE] for f in found]
                     flat = np.fromiter((i for x in ids for i in x), np.int32)
-                    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                    tokens_ = pa.StructArray.from_arrays([pa.array(flat), pa.array(np.array(sizes, np.int32)[flat])], names=["id", "size"])
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), tokens_).cast(kind))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f is not None for f in found]), *columns], names=["key", "n", "valid", "a", "b"])
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
+                    own = np.where(flat == NONE, 1, np.array(sizes, np.int32)[flat]).astype(np.int32)
+                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, own)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["key", "n", "a", "a_sizes", "b", "b_sizes"])
 
-    token = "array<struct<id int, size int>>"
-    seen = _exploded(rows).groupBy("key", "unit").agg(F.count("*").alias("n")).select("key", "n", "unit")
-    units = stored(seen.mapInArrow(tokens, f"key string, n long, valid boolean, a {token}, b {token}"), "units")
+    seen = stored(_exploded(rows).groupBy("key", "unit").agg(F.count("*").alias("n")).select("key", "n", "unit"), "units")
+    ints = "array<int>"
+    units = seen.mapInArrow(tokens, f"key string, n long, a {ints}, a_sizes {ints}, b {ints}, b_sizes {ints}").repartition("key")
+    links = stored(align_units(units), "links")
 
-    bad = units.where("not valid").select("key")
+    bad = links.where(F.col("a") == NONE).select("key")
     if not bad.isEmpty():  # texts with such a unit leave the counts
         spoilt = _exploded(rows, "doc_id", "h").join(bad, "key", "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
         without = rows.join(stored(spoilt, "spoilt"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi")
         less = _exploded(without).groupBy("key").agg(F.count("*").alias("less"))
-        units = stored(units.join(less, "key", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less"), "units-counted")
+        links = links.where(F.col("a") != NONE).join(less, "key", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
+        links = stored(links, "links-counted")
 
-    links = stored(align_units(units.where("valid").select("key", "n", "a", "b")), "links")
     pairs = stored(pair_counts(links.where("n > 0")), "pairs")
     if pairs.count() * 24 <= broadcast:
         pairs = F.broadcast(pairs)
@@ -211,10 +250,11 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
     total = worth.agg(F.sum("n")).first()[0] or 0
     frequent = F.col("n") * FREQUENT > total
     values = worth.where(frequent).select("key", F.array(*sums).alias("v")).collect()  # FREQUENT rows at most, keys of 64 bytes at most
-    known = spark.sparkContext.broadcast(({r.key: i for i, r in enumerate(values)}, np.array([r.v for r in values], np.int64).reshape(len(values), len(sums))))
+    known = spark.sparkContext.broadcast((uuid.uuid4().hex, {r.key: i for i, r in enumerate(values)}, np.array([r.v for r in values], np.int64).reshape(len(values), len(sums))))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, (place, table), memo = _pair(*files.value), known.value, Memo(MEMO)
+        pair, (call, place, table) = _pair(*files.value), known.value
+        memo = _memo(call)
         for batch in batches:
             ids, texts, hashes = (batch.column(i) for i in range(3))
             for at in range(0, len(batch), 200):

@@ -124,9 +124,9 @@ def test_units_join_to_the_text(spark):
 def test_no_pair_of_tokens_is_made_that_is_no_link(spark):
     """A unit whose sides meet only at its end gives as many rows as both have tokens, less one."""
     many = 2000
-    a, b = [{"id": 1, "size": 2}] * many, [{"id": 2, "size": 1}] + [{"id": 2, "size": 2}] * (many - 1) + [{"id": 2, "size": 1}]
-    token = "array<struct<id int, size int>>"
-    got = align_units(spark.createDataFrame([("u", 1, a, b)], f"key string, n long, a {token}, b {token}")).collect()
+    rows = [("u", 1, [1] * many, [2] * many, [2] * (many + 1), [1, *[2] * (many - 1), 1])]
+    ints = "array<int>"
+    got = align_units(spark.createDataFrame(rows, f"key string, n long, a {ints}, a_sizes {ints}, b {ints}, b_sizes {ints}")).collect()
     assert len(got) == 2 * many and sum(r.ends_a and r.ends_b for r in got) == 1 and all((r.a, r.b) == (1, 2) for r in got)
 
 
