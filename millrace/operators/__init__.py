@@ -37,14 +37,49 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: st
     return points.withColumn("__b", bucket(at)).join(cut, "__b").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("__b")
 
 
-def theta_join(left: DataFrame, right: DataFrame, condition: Column, most: int = 10_000) -> DataFrame:
-    """Pairs that meet any condition. ``right`` is counted and broadcast; if it has over ``most`` rows, in parts of about that size.
+def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, width: float) -> DataFrame:
+    """Pairs of rows whose closed ranges [low, high] overlap, as structs ``l`` and ``r``; the bounds are numbers of the same name on both sides.
 
-    The work is that of all comparisons, so an equality or a range belongs into
-    a join of its own (``range_join``). Nulls match as the condition says.
+    A range belongs to the first level whose buckets, ``width`` times a power
+    of two, are at least as long as it; so it touches two of them at most. It
+    is also copied into the two buckets of each wider level that occurs, to
+    meet the longer ranges there. A pair meets at the wider level of the two,
+    in the first bucket that both touch, and nowhere else. The work is that of
+    the ranges that share a bucket, and long ranges don't multiply short ones.
+
+    Ranges with a null or NaN bound, or whose end is before their start,
+    overlap nothing. Repeated rows pair each.
+    """
+
+    def sized(df: DataFrame) -> DataFrame:
+        good = df.where((F.col(low) <= F.col(high)) & ~F.isnan(F.col(high).cast("double"))).select(F.struct("*").alias("row"), F.col(low).cast("double").alias("lo"), F.col(high).cast("double").alias("hi"))
+        length = F.col("hi") - F.col("lo")
+        return good.withColumn("level", F.when(length <= width, 0).otherwise(F.ceil(F.log2(length / width)).cast("int")))
+
+    a, b = sized(left), sized(right)
+    levels = sorted(r.level for r in a.select("level").union(b.select("level")).distinct().collect())  # some dozens: powers of two
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        each = F.explode(F.filter(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"), lambda x: x >= F.col("level")))
+        at = df.withColumn("at", each).withColumn("size", F.lit(width) * F.pow(F.lit(2.0), F.col("at")))
+        at = at.withColumn("first", F.floor(F.col("lo") / F.col("size"))).withColumn("bucket", F.explode(F.sequence(F.col("first"), F.floor(F.col("hi") / F.col("size")))))
+        return at.select("at", "bucket", F.struct("row", "lo", "hi", "level", "first").alias(name))
+
+    x, y = F.col("x"), F.col("y")
+    met = placed(a, "x").join(placed(b, "y"), ["at", "bucket"]).where((F.col("at") == F.greatest(x["level"], y["level"])) & (F.col("bucket") == F.greatest(x["first"], y["first"])))
+    return met.where((x["lo"] <= y["hi"]) & (y["lo"] <= x["hi"])).select(x["row"].alias("l"), y["row"].alias("r"))
+
+
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, most: int = 8 << 20) -> DataFrame:
+    """Pairs that meet any condition. ``right`` is measured and broadcast; if it has over ``most`` bytes (as JSON text), in parts of about that size.
+
+    The work is that of all comparisons, and ``left`` is read once for each
+    part, so an equality or a range belongs into a join of its own
+    (``range_join``, ``overlap_join``). Nulls match as the condition says;
+    repeated rows pair each, and those of ``right`` go into one part.
     """
-    rows = right.count()
-    parts = -(-rows // most) if rows > most else 1
+    size = right.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    parts = -(-size // most) if size > most else 1
     if parts == 1:
         return left.join(F.broadcast(right), condition)
     part = F.pmod(F.xxhash64(*right.columns), F.lit(parts))

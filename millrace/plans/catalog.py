@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace import streaming
 from millrace.functions import dot, exact_sum, initials, naive, register_divisors, spread
-from millrace.operators import as_of_join, extraction, range_join, sessions, theta_join, top_per_group
+from millrace.operators import as_of_join, extraction, overlap_join, range_join, sessions, theta_join, top_per_group
 from millrace.operators.neighbours import nearest
 from millrace.scratch import scratch_path
 from millrace.streaming.funnel import funnel
@@ -235,9 +235,18 @@ def set_operations(spark, sf_dir):
     return c.intersectAll(s).union(c.exceptAll(s)).union(c.union(s).distinct())
 
 
-@query("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+_THREADS = """
+WITH RECURSIVE t(conv_id, turn, roles) AS (
+  SELECT conv_id, turn, role FROM {c} WHERE turn = 0
+  UNION ALL SELECT c.conv_id, c.turn, concat(t.roles, '>', c.role) FROM t JOIN {c} c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+SELECT conv_id, turn, roles FROM t
+"""
+
+
+@query(_THREADS.format(c="conversations"))
 def recursive(spark, sf_dir):
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+    """Every turn with the roles of the conversation up to it, by following each turn to the next."""
+    return spark.sql(_THREADS, c=_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"))
 
 
 @query("""
@@ -293,6 +302,20 @@ def session_windows(spark, sf_dir):
     return sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
 
 
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
+s AS (SELECT user_id, min(ts) AS low, max(ts) AS high FROM k GROUP BY user_id, k)
+SELECT a.user_id, b.user_id AS other_id, a.low AS start, b.low AS other_start FROM s a JOIN s b ON a.user_id < b.user_id AND a.low <= b.high AND b.low <= a.high
+""")
+def overlapping_sessions(spark, sf_dir):
+    """Sessions (gaps of at most six hours) of different users that overlap in time."""
+    s = sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+    s = s.select("user_id", F.col("start").alias("begin"), *[F.unix_micros(F.col(c).cast("timestamp")).alias(n) for c, n in (("start", "low"), ("end", "high"))])
+    met = overlap_join(s, s, "low", "high", 3.6e9).where("l.user_id < r.user_id")
+    return met.select("l.user_id", F.col("r.user_id").alias("other_id"), F.col("l.begin").alias("start"), F.col("r.begin").alias("other_start"))
+
+
 @query("""
 SELECT start, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT time_bucket(INTERVAL 1 HOUR, ts) - i * INTERVAL 1 HOUR AS start FROM events, (SELECT unnest(range(2)) AS i)) GROUP BY 1

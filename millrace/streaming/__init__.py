@@ -59,9 +59,10 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
 
 
 def latest(spark: SparkSession, sink: str, schema: StructType) -> DataFrame:
-    """What the last batch of a stream in complete mode left; empty if there was none."""
+    """What the last batch of a stream in complete mode left; empty if there was none. A batch whose write was cut off doesn't count."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(sink)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = sorted(f.getPath().toString() for f in fs.listStatus(path)) if fs.exists(path) else []
-    return spark.read.schema(schema).parquet(names[-1]) if names else spark.createDataFrame([], schema)
+    whole = [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{n}/_SUCCESS"))]
+    return spark.read.schema(schema).parquet(whole[-1]) if whole else spark.createDataFrame([], schema)

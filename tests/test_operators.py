@@ -88,3 +88,40 @@ def test_sources_refuse_what_they_would_guess(spark, tmp_path):
         read_table(spark, str(tmp_path), "t", "csv")
     with pytest.raises(ValueError):
         read_table(spark, str(tmp_path), "t", "xml")
+
+
+def test_overlap_join_agrees_with_all_pairs(spark):
+    """Short, long, empty and touching ranges; each pair once."""
+    import random
+
+    from millrace.operators import overlap_join
+
+    rng = random.Random(4)
+    rows = [(i, s := rng.randint(-500, 500) / 2, s + rng.choice([0, 0, 1, 3, 10, 64, 700])) for i in range(150)]
+    rows += [(900, None, 1.0), (901, 1.0, None), (902, 5.0, 4.0), (903, 1.0, float("nan")), (904, float("nan"), 2.0), (0, *rows[0][1:])]
+    good = [r for r in rows if None not in r and r[1] <= r[2]]
+    df = spark.createDataFrame(rows, "id long, low double, high double").selectExpr("*", "1 AS level", "2 AS bucket", "3 AS at", "4 AS row")
+    got = overlap_join(df, df.where("id % 2 = 0"), "low", "high", 4.0)
+    found = sorted((r.l.id, r.r.id) for r in got.collect())
+    assert found == sorted((a[0], b[0]) for a in good for b in good if b[0] % 2 == 0 and a[1] <= b[2] and b[1] <= a[2])
+    plan = got._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert overlap_join(df.limit(0), df, "low", "high", 4.0).count() == 0
+
+
+def test_long_ranges_do_not_multiply(spark):
+    """A range of a million widths is copied twice a level, not into a million buckets."""
+    from millrace.operators import overlap_join
+
+    df = spark.createDataFrame([(0, 0, 1_000_000)] + [(i, i * 1000, i * 1000) for i in range(1, 500)], "id long, low long, high long")
+    assert overlap_join(df, df, "low", "high", 1.0).where("l.id < r.id").count() == 499
+
+
+def test_theta_join_goes_by_bytes(spark):
+    from millrace.operators import theta_join
+
+    left = spark.createDataFrame([(i,) for i in range(20)], "a long")
+    right = spark.createDataFrame([(i, "x" * 50) for i in range(0, 20, 2)] + [(4, "x" * 50), (None, "y")], "b long, wide string")
+    for most in (1 << 20, 100):
+        got = sorted((r.a, r.b) for r in theta_join(left, right, F.col("a") > F.col("b"), most=most).collect())
+        assert got == sorted((a, b) for a in range(20) for b in [*range(0, 20, 2), 4] if a > b)
