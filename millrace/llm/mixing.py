@@ -7,7 +7,10 @@ sample fills what the source still lacks: documents are ranked by the odds of
 a random number divided by the odds of p, and the leading ones are taken until
 their words reach the source's remainder (the last only if that brings the
 sum nearer). The sample's size is fixed in words, which is what the target
-fixes; p may differ between documents (``weight_col``).
+fixes. Odds are unequal within a source where ``favour_long`` multiplies those
+of p by the square root of a document's words, so that the remainder goes to
+long documents rather than to scraps, and where ``weight_col`` makes the copies
+due differ.
 
 The ranking never sorts a source in one task: ranks fall into BINS bins, whose
 words are summed map-side, and only the one bin of a source in which the
@@ -76,6 +79,7 @@ def mixture(
     share: float = 1.0,
     seed: int = 7,
     bins: int = BINS,
+    favour_long: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken, text_hash.
 
@@ -105,13 +109,14 @@ def mixture(
 
     each = F.least(F.when(F.col("due") > 0, F.col("target") / F.col("due") * F.col("weight")).otherwise(0.0), F.lit(float(MAX_COPIES)))
     odds = lambda x: x / (1 - x)
+    favour = F.sqrt(F.col("size").cast("double")) if favour_long else F.lit(1.0)
     ranked = (
         rows.withColumnRenamed("source", "s")
         .join(targets, F.col("s").eqNullSafe(F.col("source")))
         .drop("s")
         .withColumn("whole", F.floor(each).cast("long"))
         .withColumn("p", each - F.col("whole"))
-        .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds(_unit(F.col("draw"))) / odds(F.col("p"))))
+        .withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds(_unit(F.col("draw"))) / (odds(F.col("p")) * favour)))
         .withColumn("bin", F.least(F.floor(F.col("q") / (1 + F.col("q")) * bins), F.lit(bins - 1)).cast("int"))
     )
     per_bin = stored(
@@ -145,8 +150,7 @@ def mixture(
     )
 
 
-#: The same rows in DuckDB SQL, for the default parameters.
-MIXTURE_SQL = r"""
+_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -175,7 +179,7 @@ r AS (
 q AS (
   SELECT *, CAST(floor(each) AS BIGINT) AS whole,
          CASE WHEN each > floor(each) AND size > 0 THEN
-           (u / (1 - u)) / ((each - floor(each)) / (1 - (each - floor(each)))) END AS q
+           (u / (1 - u)) / ((each - floor(each)) / (1 - (each - floor(each))) * {favour}) END AS q
   FROM (SELECT *, (CAST(CAST('0x' || substr(draw, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u FROM r)),
 c AS (
   SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS rest,
@@ -185,3 +189,8 @@ SELECT doc_id, size, source_size, target,
        (whole + CASE WHEN q IS NOT NULL AND (upto <= rest OR (upto - size < rest AND upto - rest < rest - upto + size)) THEN 1 ELSE 0 END) * size AS taken
 FROM c
 """
+
+
+def mixture_sql(favour_long: bool) -> str:
+    """The same rows in DuckDB SQL, for the default parameters and ``favour_long``."""
+    return _SQL.replace("{favour}", "sqrt(CAST(size AS DOUBLE))" if favour_long else "1.0::DOUBLE")

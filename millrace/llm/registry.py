@@ -54,7 +54,7 @@ def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mixture
 
-    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixture(table(spark, sf_dir, "documents"), favour_long=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +147,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from millrace.llm.infill import INFILL_SQL
-    from millrace.llm.mixing import MIXTURE_SQL
+    from millrace.llm.mixing import mixture_sql
 
-    return {"op7_mixing": MIXTURE_SQL, "op11_urlrules": URL_SQL, "op13_infill": INFILL_SQL}
+    return {"op7_mixing": mixture_sql(True), "op11_urlrules": URL_SQL, "op13_infill": INFILL_SQL}

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.mixing import MIXTURE_SQL, mixture, source_targets
+from millrace.llm.mixing import mixture, mixture_sql, source_targets
 
 
 def watered(sizes, weights=(5, 2, 1), cap=3):
@@ -52,11 +52,12 @@ def test_sums_come_near_the_targets(docs, clash, bins):
     assert {(r.doc_id, r.taken) for r in mixture(docs(rows), bins=4096).collect()} == {(r.doc_id, r.taken) for r in got}
 
 
-def test_agrees_with_sql(docs):
+@pytest.mark.parametrize("favour", [False, True])
+def test_agrees_with_sql(docs, favour):
     rows = rows_of(1500, seed=4)
     documents = docs(rows).toPandas()  # noqa: F841
-    want = duckdb.connect().register("documents", documents).sql(MIXTURE_SQL).fetchall()
-    got = mixture(docs(rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    want = duckdb.connect().register("documents", documents).sql(mixture_sql(favour)).fetchall()
+    got = mixture(docs(rows), favour_long=favour).select("doc_id", "size", "source_size", "target", "taken").collect()
     key = lambda r: (r[0], r[1], r[2], round(r[3], 6), r[4])
     assert sorted(map(key, got)) == sorted(map(key, want))
 
@@ -70,6 +71,14 @@ def test_weights_make_inclusion_unequal(docs, spark):
     assert next(r.copies for r in got if r.doc_id == 1999) == 0
 
 
+def test_long_documents_are_favoured_within_a_source(docs):
+    """Half the words of one source: odds four times as high for texts of sixteen times the words, and the sum as near as before."""
+    rows = [(i, " ".join(["w"] * (4 if i % 2 else 64)), "en", "s") for i in range(2000)]
+    got = mixture(docs(rows), share=0.5, favour_long=True).collect()
+    long_, short = (sum(r.copies for r in got if (r.size == 64) == x) for x in (True, False))
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 64 and 2 * short < long_ < 1000 and short > 100
+
+
 def test_every_document_has_its_chance(docs):
     """Over many seeds each is taken about as often as its share says."""
     rows = [(i, "a b", "en", "s") for i in range(40)]

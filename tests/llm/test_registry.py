@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import registry
 from millrace.llm.licenses import NOTICES
-from millrace.llm.mixing import MIXTURE_SQL
+from millrace.llm.mixing import mixture_sql
 from millrace.llm.wordhash import text_hashes, words_of
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,12 +127,12 @@ def learned_from(docs):
     return [x for x in docs if zlib.crc32(str(x[0]).encode()) % 3 != 1]
 
 
-def mixed(docs):
+def mixed(docs, favour_long=False):
     """doc_id -> taken, size by the SQL."""
     duck = duckdb.connect()
     duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
     duck.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(x) for x in docs])
-    return {r[0]: (r[4], r[1]) for r in duck.sql(MIXTURE_SQL).fetchall()}
+    return {r[0]: (r[4], r[1]) for r in duck.sql(mixture_sql(favour_long)).fetchall()}
 
 
 def files(docs):
@@ -191,7 +191,7 @@ def test_vectors(results):
 
 
 def test_mixture(results):
-    want = mixed(make()[0])
+    want = mixed(make()[0], favour_long=True)
     assert {r[0]: (r[4], r[1]) for r in results["op7_mixing"]} == want
 
 
