@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace import streaming
 from millrace.functions import dot, exact_sum, initials, naive, register_divisors, spread
-from millrace.operators import as_of_join, extraction, overlap_join, range_join, sessions, theta_join, top_per_group
+from millrace.operators import as_of_join, extraction, overlap_join, quantiles, range_join, sessions, theta_join, top_per_group
 from millrace.operators.neighbours import nearest
 from millrace.scratch import scratch_path
 from millrace.streaming.funnel import funnel
@@ -467,6 +467,17 @@ def stream_sessions(spark, sf_dir):
     return _streamed(streaming.session_counts(_events(spark, sf_dir), "user_id", "30 minutes")).select("user_id", naive(F.col("start")).alias("start"), "n")
 
 
+@query("""
+SELECT l_returnflag, q, CAST(count(*) AS BIGINT) AS n, round(CASE q WHEN 0.01 THEN quantile_cont(l_extendedprice, 0.01) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.99) END, 6) AS quantile
+FROM (SELECT l_returnflag, l_extendedprice FROM lineitem UNION ALL SELECT '*', l_extendedprice FROM lineitem), (SELECT unnest([0.01::DOUBLE, 0.5::DOUBLE, 0.99::DOUBLE]) AS q) GROUP BY 1, 2
+""")
+def exact_quantiles(spark, sf_dir):
+    """Prices by return flag, and of all line items as one group (*), no group in one task."""
+    l = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")  # noqa: E741
+    every = l.union(l.withColumn("l_returnflag", F.lit("*")))
+    return quantiles.exact_quantiles(every, ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.99]).withColumn("quantile", F.round("quantile", 6))
+
+
 @query()
 def page_text(spark, sf_dir):
     """Main text of every page, without blocks that the pages of its host share."""

@@ -125,3 +125,29 @@ def test_theta_join_goes_by_bytes(spark):
     for most in (1 << 20, 100):
         got = sorted((r.a, r.b) for r in theta_join(left, right, F.col("a") > F.col("b"), most=most).collect())
         assert got == sorted((a, b) for a in range(20) for b in [*range(0, 20, 2), 4] if a > b)
+
+
+def test_exact_quantiles(spark):
+    """Against numpy: skewed, repeated, tiny, huge and infinite values; with buckets so few that many rounds are needed."""
+    import numpy as np
+
+    from millrace.operators.quantiles import exact_quantiles
+
+    gen = np.random.default_rng(5)
+    inf = float("inf")
+    groups = {
+        "even": gen.uniform(0, 1, 700), "heavy": np.exp(gen.normal(size=700) * 40), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), "same": np.full(300, 7.0), "hot": np.r_[np.full(600, 2.0), gen.normal(size=200)],
+        "wide": np.array([-1.7e308, 1.7e308, 0.0, 5e-324, -5e-324]), "ends": np.array([-inf, -inf, 1.0, 2.0, 3.0, inf, inf]), None: gen.integers(0, 9, 200).astype(float),
+    }
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("even", None), ("even", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").selectExpr("*", "1 AS key", "2 AS n", "3 AS rank", "4 AS q")
+    for few, buckets in ((4096, 256), (4, 8)):
+        got = {(r.g, r.q): (r.n, r.quantile) for r in exact_quantiles(df, ["g"], "v", [0.0, 0.1, 0.5, 0.9, 1.0], few, buckets).collect()}
+        assert len(got) == 5 * len(groups)
+        for k, v in groups.items():
+            v = np.sort(v)
+            for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+                a, b, share = v[int(np.floor(q * (len(v) - 1)))], v[int(np.ceil(q * (len(v) - 1)))], q * (len(v) - 1) % 1
+                assert got[k, q] == (len(v), pytest.approx(a if a == b else a * (1 - share) + b * share, rel=1e-12)), (k, q)
+    assert [tuple(r) for r in exact_quantiles(df.where("g = 'two'"), [], "v", [0.25]).collect()] == [(0.25, 2, 1.25)]
+    assert exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
