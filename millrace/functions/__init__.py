@@ -1,8 +1,10 @@
 """Column functions: Spark's own expressions, and a few vectorised Python ones at the end."""
 
+import unicodedata
+
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +46,44 @@ def spread(value: Column) -> Column:
     return F.pandas_udf(width, "double")(value)
 
 
+def composed(text: Column) -> Column:
+    """Text in Unicode's composed normal form (NFC), for which Spark has no function, by a vectorised Python one; null stays null. Texts of any length are composed whole."""
+
+    def compose(column: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t) for t in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(compose, "string")(text)
+
+
+def absolute_deviation(value: Column) -> Column:
+    """Median distance of a group's values from their median, by a vectorised Python aggregate, as it needs the median before it can start; null for none. Null and NaN don't count. A group's values are in one task."""
+
+    def spread_(values: pd.Series) -> float:
+        known = values.dropna()
+        return float((known - known.median()).abs().median()) if len(known) else None
+
+    return F.pandas_udf(spread_, "double")(value)
+
+
+def json_totals(rows: DataFrame, by: str, json_col: str) -> DataFrame:
+    """(by, totals, n): for each key that the JSON objects of a group hold, whatever the keys are, the sum of its whole numbers, as a map in the order of keys; n counts the rows.
+
+    Objects are read as variants and their fields exploded, so that keys need
+    not be known and are summed map-side. What is malformed or no object adds
+    nothing, nor do fields that are null, nested or no whole number; a group
+    without any number has an empty map.
+    """
+    spark = rows.sparkSession
+    read = rows.select(F.col(by).alias("g"), F.try_parse_json(json_col).alias("v"))
+    objects = read.where("schema_of_variant(v) LIKE 'OBJECT%'")
+    fields = spark.sql("SELECT g, t.key AS key, try_variant_get(t.value, '$', 'long') AS value FROM {o}, LATERAL variant_explode(v) AS t WHERE schema_of_variant(t.value) = 'BIGINT'", o=objects)
+    sums = fields.groupBy("g", "key").agg(F.sum("value").alias("total"))
+    maps = sums.groupBy("g").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "total")))).alias("m")).withColumnRenamed("g", "h")
+    counts = read.groupBy("g").agg(F.count("*").alias("n"))
+    met = counts.join(maps, F.col("g").eqNullSafe(F.col("h")), "left")
+    return met.select(F.col("g").alias(by), F.coalesce("m", F.create_map().cast("map<string,bigint>")).alias("totals"), "n")
+
+
 def register_divisors(spark: SparkSession, name: str = "divisors") -> None:
     """A table function in SQL: a row (n) for every divisor of its argument."""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace import streaming
-from millrace.functions import dot, exact_sum, initials, naive, register_divisors, spread
+from millrace.functions import absolute_deviation, composed, dot, exact_sum, initials, json_totals, naive, register_divisors, spread
 from millrace.operators import as_of_join, extraction, overlap_join, quantiles, range_join, sessions, theta_join, top_per_group
 from millrace.operators.neighbours import nearest
 from millrace.scratch import scratch_path
@@ -303,16 +303,16 @@ def session_windows(spark, sf_dir):
 
 
 @query("""
-WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g),
 s AS (SELECT user_id, min(ts) AS low, max(ts) AS high FROM k GROUP BY user_id, k)
 SELECT a.user_id, b.user_id AS other_id, a.low AS start, b.low AS other_start FROM s a JOIN s b ON a.user_id < b.user_id AND a.low <= b.high AND b.low <= a.high
 """)
 def overlapping_sessions(spark, sf_dir):
-    """Sessions (gaps of at most six hours) of different users that overlap in time."""
-    s = sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "6 hours")
+    """Sessions (gaps of at most half an hour) of different users that overlap in time."""
+    s = sessions(_t(spark, sf_dir, "events"), "user_id", "ts", "30 minutes")
     s = s.select("user_id", F.col("start").alias("begin"), *[F.unix_micros(F.col(c).cast("timestamp")).alias(n) for c, n in (("start", "low"), ("end", "high"))])
-    met = overlap_join(s, s, "low", "high", 3.6e9).where("l.user_id < r.user_id")
+    met = overlap_join(s, s, "low", "high", 1.8e9).where("l.user_id < r.user_id")
     return met.select("l.user_id", F.col("r.user_id").alias("other_id"), F.col("l.begin").alias("start"), F.col("r.begin").alias("other_start"))
 
 
@@ -361,6 +361,29 @@ def table_function(spark, sf_dir):
     return spark.sql("SELECT p_partkey, d.n FROM {p}, LATERAL millrace_divisors(p_size) AS d", p=_t(spark, sf_dir, "part").select("p_partkey", "p_size"))
 
 
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS composed FROM documents")
+def composed_texts(spark, sf_dir):
+    """Whole texts in composed normal form."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(composed(F.col("text"))).alias("composed"))
+
+
+@query("SELECT user_id, round(mad(value), 9) AS deviation FROM events GROUP BY 1")
+def absolute_deviations(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(F.round(absolute_deviation(F.col("value")), 9).alias("deviation"))
+
+
+@query("""
+WITH f AS (SELECT user_id, unnest(json_keys(props)) AS key, props FROM events),
+t AS (SELECT user_id, key, CAST(sum(CAST(json_extract_string(props, '$.' || key) AS BIGINT)) AS BIGINT) AS total FROM f GROUP BY 1, 2),
+m AS (SELECT user_id, '{' || string_agg('"' || key || '":' || total, ',' ORDER BY key) || '}' AS totals FROM t GROUP BY 1)
+SELECT m.user_id, m.totals, n FROM m JOIN (SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1) c ON m.user_id = c.user_id
+""")
+def json_maps(spark, sf_dir):
+    """Sums of whatever numbers the events' properties hold, by user, as a map."""
+    found = json_totals(_t(spark, sf_dir, "events"), "user_id", "props")
+    return found.select("user_id", F.to_json("totals").alias("totals"), "n")
+
+
 @query("""
 SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, arg_max(event_type, (ts, event_id)) AS last_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1
 """)

@@ -151,3 +151,21 @@ def test_exact_quantiles(spark):
                 assert got[k, q] == (len(v), pytest.approx(a if a == b else a * (1 - share) + b * share, rel=1e-12)), (k, q)
     assert [tuple(r) for r in exact_quantiles(df.where("g = 'two'"), [], "v", [0.25]).collect()] == [(0.25, 2, 1.25)]
     assert exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
+
+
+def test_json_totals_of_unknown_keys(spark):
+    from millrace.functions import json_totals
+
+    rows = [("a", '{"x": 1, "y": 2}'), ("a", '{"x": 10, "z": "7", "n": null, "o": {"x": 5}, "f": 1.5}'), ("a", '{"x": 1, "x'), ("a", "[1, 2]"), ("a", "5"), ("a", None), ("b", "{}"), ("b", "nonsense"), (None, '{"x": -3}'), (None, '{"": 4, "x": 9}')]
+    df = spark.createDataFrame(rows, "u string, props string").selectExpr("*", "1 AS g", "2 AS key", "3 AS v")
+    got = {r.u: (r.totals, r.n) for r in json_totals(df, "u", "props").collect()}
+    assert got == {"a": ({"x": 11, "y": 2}, 6), "b": ({}, 2), None: ({"": 4, "x": 6}, 2)}
+    assert json_totals(df.limit(0), "u", "props").count() == 0
+
+
+def test_functions_that_spark_lacks(spark):
+    from millrace.functions import absolute_deviation, composed
+
+    df = spark.createDataFrame([("a", "é", 1.0), ("a", None, 2.0), ("a", "하", 9.0), ("b", "", None), ("c", "plain", float("nan")), ("c", "ﬁ", 4.0)], "k string, t string, v double")
+    assert [r[0] for r in df.select(composed(F.col("t"))).collect()] == ["é", None, "하", "", "plain", "ﬁ"]
+    assert {r.k: r.d for r in df.groupBy("k").agg(absolute_deviation(F.col("v")).alias("d")).collect()} == {"a": 1.0, "b": None, "c": 0.0}
