@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace import streaming
 from millrace.functions import absolute_deviation, composed, dot, exact_sum, initials, json_totals, naive, register_divisors, spread
-from millrace.operators import as_of_join, extraction, overlap_join, quantiles, range_join, sessions, theta_join, top_per_group
+from millrace.operators import as_of_join, extraction, overlap_join, quantiles, range_join, sessions, sketches, theta_join, top_per_group
 from millrace.operators.neighbours import nearest
 from millrace.scratch import scratch_path
 from millrace.streaming.funnel import funnel
@@ -501,6 +501,15 @@ def exact_quantiles(spark, sf_dir):
     return quantiles.exact_quantiles(every, ["l_returnflag"], "l_extendedprice", [0.01, 0.5, 0.99]).withColumn("quantile", F.round("quantile", 6))
 
 
+@query()
+def sketched_weeks(spark, sf_dir):
+    """Rows, users and quantiles of values by week, from daily sketches that were added in two parts."""
+    e, table = _t(spark, sf_dir, "events"), scratch_path(spark, "sketches")
+    sketches.add_days(e.where("event_type = 'view'"), table, "views", "ts", "user_id", "value")
+    sketches.add_days(e.where("event_type <> 'view'"), table, "others", "ts", "user_id", "value")
+    return sketches.span_totals(sketches.sketched(spark, table), "2024-01-01", "2024-12-31", [0.1, 0.5, 0.9], by=F.date_trunc("week", "day").cast("date"))
+
+
 @query()
 def page_text(spark, sf_dir):
     """Main text of every page, without blocks that the pages of its host share."""

@@ -1,0 +1,65 @@
+"""Daily sketches: stated errors at several spans, parts that repeat, and days that alone are read."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators.sketches import add_days, sketched, span_totals
+
+ROWS = "ts timestamp_ntz, user string, amount double"
+
+
+@pytest.fixture(scope="module")
+def made(spark, tmp_path_factory):
+    gen = np.random.default_rng(4)
+    base = datetime(2024, 3, 1)
+    rows = [(base + timedelta(minutes=int(m)), f"u{u}", float(a)) for m, u, a in zip(gen.integers(0, 30 * 1440, 40_000), gen.integers(0, 9000, 40_000), gen.exponential(10, 40_000))]
+    table = str(tmp_path_factory.mktemp("sketches") / "table")
+    for part, some in (("a", rows[:25_000]), ("b", rows[25_000:])):
+        add_days(spark.createDataFrame(some, ROWS), table, part, "ts", "user", "amount")
+    return rows, table, base
+
+
+def test_errors_at_three_spans(spark, made):
+    rows, table, base = made
+    for first, days in ((3, 1), (10, 7), (0, 30)):
+        start = base + timedelta(days=first)
+        own = [r for r in rows if start <= r[0] < start + timedelta(days=days)]
+        got = span_totals(sketched(spark, table), start.date(), (start + timedelta(days=days - 1)).date(), [0.05, 0.5, 0.95]).first()
+        users, amounts = len({u for _, u, _ in own}), np.sort([a for *_, a in own])
+        assert got.n == len(own) and abs(got.ids - users) <= 0.05 * users
+        for q, v in zip((0.05, 0.5, 0.95), got.quantiles):
+            assert abs(np.searchsorted(amounts, v) / len(amounts) - q) <= 0.03
+    assert span_totals(sketched(spark, table), "2020-01-01", "2020-02-01", [0.5]).count() == 0
+
+
+def test_a_part_added_again_counts_once(spark, made, tmp_path):
+    rows, _, base = made
+    table = str(tmp_path / "t")
+    for _ in range(2):
+        add_days(spark.createDataFrame(rows[:500], ROWS), table, "a", "ts", "user", "amount")
+    total = lambda: span_totals(sketched(spark, table), "2024-01-01", "2024-12-31", [0.5]).first()
+    assert total().n == 500
+    add_days(spark.createDataFrame([(base, None, None), (base, "x", float("nan")), (None, "y", 1.0)], ROWS).selectExpr("*", "1 AS day", "2 AS part", "3 AS n", "4 AS id"), table, "b", "ts", "user", "amount")
+    assert total().n == 502
+    add_days(spark.createDataFrame(rows[:10], ROWS), table, "a", "ts", "user", "amount")
+    assert total().n == 12
+
+
+def test_only_the_days_asked_for_are_read(spark, made):
+    _, table, base = made
+    plan = span_totals(sketched(spark, table), base.date(), base.date(), [0.5])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    by_week = span_totals(sketched(spark, table), "2024-01-01", "2024-12-31", [0.5], by=F.date_trunc("week", "day")).collect()
+    assert sum(r.n for r in by_week) == 40_000 and len(by_week) == 5
+
+
+def test_empty_rows(spark, tmp_path):
+    add_days(spark.createDataFrame([], ROWS), str(tmp_path / "t"), "a", "ts", "user", "amount")
+    add_days(spark.createDataFrame([(datetime(2024, 1, 1), None, None)], ROWS), str(tmp_path / "t"), "b", "ts", "user", "amount")
+    got = span_totals(sketched(spark, str(tmp_path / "t")), "2024-01-01", "2024-01-01", [0.5]).first()
+    assert got.n == 1 and got.ids == 0 and got.quantiles is None
