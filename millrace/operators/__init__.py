@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, value_cols: list[str], prefix: str = "last_") -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, by: str, at: str, value_cols: list[str], prefix: str = "last_", slices: Column | None = None) -> DataFrame:
     """Each left row with the values of the latest right row of the same ``by`` whose ``at`` is not later.
 
     Both sides go through one sort by (by, at) and a running last value: one
     shuffle, no pairs, linear in the rows of a key. At equal times right rows
     come first, of several the last by their values. Null keys and times match
     nothing and don't go through the sort, however many there are. Left rows
-    without a match get nulls.
+    without a match get nulls. Repeated rows stay.
+
+    ``slices``, an expression of ``at`` that never falls as it rises (such as
+    its day), deals a key's rows out by slice, so that no key is one task. Each
+    slice starts with the last right row of the slices before it, which come
+    from one row for each key and slice, made map-side.
     """
     slot = F.struct(*value_cols)
+    slice_ = slices if slices is not None else F.lit(0)
     marked = left.withColumn("__left", F.lit(True)).withColumn("__value", F.lit(None).cast(right.select(slot.alias("v")).schema["v"].dataType))
     extra = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (by, at) else F.col(f.name) for f in left.schema]
     sorted_, plain = F.col(by).isNotNull() & F.col(at).isNotNull(), F.col(by).isNull() | F.col(at).isNull()
     feed = right.where(sorted_).select(*extra, F.lit(False).alias("__left"), slot.alias("__value"))
-    order = Window.partitionBy(by).orderBy(at, F.col("__left"), "__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = marked.where(sorted_).union(feed).withColumn("__slice", slice_).withColumn("__carried", F.lit(False))
+    if slices is not None:
+        # a slice with left rows alone needs what came before it too
+        last = rows.groupBy(F.col(by), F.col("__slice")).agg(F.max(F.when(~F.col("__left"), F.struct(F.col(at).alias("t"), F.col("__value").alias("v")))).alias("x"))
+        before = Window.partitionBy(by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.withColumn("x", F.last("x", ignorenulls=True).over(before)).where("x IS NOT NULL")
+        given = {by: F.col(by), at: F.col("x.t"), "__left": F.lit(False), "__value": F.col("x.v"), "__slice": F.col("__slice"), "__carried": F.lit(True)}
+        rows = rows.union(carried.select(*[given.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]))
+    order = Window.partitionBy(by, "__slice").orderBy(F.desc("__carried"), at, F.col("__left"), "__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.last("__value", ignorenulls=True).over(order)
     rest = marked.where(plain).withColumn("__known", F.col("__value"))
-    return marked.where(sorted_).union(feed).withColumn("__known", known).where("__left").union(rest).select(*left.columns, *[F.col(f"__known.{c}").alias(f"{prefix}{c}") for c in value_cols])
+    found = rows.withColumn("__known", known).where("__left").drop("__slice", "__carried").union(rest)
+    return found.select(*left.columns, *[F.col(f"__known.{c}").alias(f"{prefix}{c}") for c in value_cols])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:

@@ -122,7 +122,7 @@ def as_of(spark, sf_dir):
     e = _t(spark, sf_dir, "events")
     buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     views = e.where("event_type = 'view'").select("user_id", "ts", F.struct("ts", "event_id").alias("seen"))
-    return as_of_join(buys, views, "user_id", "ts", ["seen"]).select("event_id", F.col("last_seen.event_id").alias("last_event_id"), F.col("last_seen.ts").alias("last_ts"))
+    return as_of_join(buys, views, "user_id", "ts", ["seen"], slices=F.date_trunc("week", "ts")).select("event_id", F.col("last_seen.event_id").alias("last_event_id"), F.col("last_seen.ts").alias("last_ts"))
 
 
 @query("""
@@ -245,7 +245,7 @@ SELECT conv_id, turn, roles FROM t
 
 @query(_THREADS.format(c="conversations"))
 def recursive(spark, sf_dir):
-    """Every turn with the roles of the conversation up to it, by following each turn to the next."""
+    """Every turn with the roles of the conversation up to it, by following each turn to the next. Spark ends recursions of over 100 levels or a million rows with an error; settings raise both."""
     return spark.sql(_THREADS, c=_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"))
 
 

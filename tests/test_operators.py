@@ -21,6 +21,18 @@ def test_as_of_join_takes_the_latest_and_keeps_unmatched(spark):
     assert got == {1: 100, 2: None, 3: None, 4: None, 5: None}
 
 
+def test_as_of_join_by_slices_agrees_with_one_sort(spark):
+    """Random rows with ties, nulls and repeated rows; slices without right rows, and keys without any."""
+    import random
+
+    rng = random.Random(3)
+    key = lambda: rng.choice(["a", "a", "a", "b", "c", None])
+    left = spark.createDataFrame([(i, key(), rng.choice([None, *range(40)])) for i in range(150)] * 2, "id int, k string, at int").selectExpr("*", "1 AS x")
+    right = spark.createDataFrame([(k, rng.choice([None, *range(0, 12), *range(30, 33)]), rng.randint(0, 9)) for k in (key() for _ in range(40)) if k != "c"], "k string, at int, v int")
+    plain, sliced = (sorted((tuple(r) for r in as_of_join(left, right, "k", "at", ["v"], slices=s).collect()), key=str) for s in (None, F.floor(F.col("at") / 5)))
+    assert plain == sliced and len(plain) == 300 and any(r[4] is not None and (r[2] or 0) > 20 for r in plain)
+
+
 def test_as_of_join_on_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, at int, v int")
     assert as_of_join(empty, empty, "k", "at", ["v"]).count() == 0
