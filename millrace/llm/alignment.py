@@ -49,11 +49,11 @@ from millrace.llm.shared import stored
 
 #: What some tokenizer may take for white space; U+2581 stands for a blank in piece vocabularies.
 BLANKS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f\\u2581\\u3000\\ufeff"
-CUT = f"(?<=[^{BLANKS}])(?=\\x20[^{BLANKS}])"
+CUT = f"(?=\\x20[^{BLANKS}])(?<=[^{BLANKS}])"  # few places have the blank, which is looked for first
 _CUT = re.compile(CUT)
 _ODD = re.compile(f"[{BLANKS}][{BLANKS}]|\\A[{BLANKS}]|[{BLANKS}]\\Z")
 #: Stands for the tokens of a unit that a tokenizer doesn't give back.
-NONE = -1
+NONE = (1 << 31) - 1
 #: How byte-level pre-tokenizers cut a text (a fixed value).
 PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Units of more bytes go by their digest.
@@ -63,7 +63,7 @@ FREQUENT = 1 << 16
 #: Bytes up to which a table of id pairs is broadcast.
 BROADCAST = 64 << 20
 #: Units that a worker remembers, in each of two generations.
-MEMO = 300_000
+MEMO = 500_000
 
 
 def units_of(text: str) -> list[str]:
@@ -103,10 +103,13 @@ class Pair:
 
     def shown(self, a: list[int], b: list[int]) -> str:
         """The groups of a unit, as ``a1,a2|b1;a3|b2,b3``."""
-        at = dict(zip(accumulate(map(self.a_sizes.__getitem__, a)), range(1, len(a) + 1)))
         x, y = [*map(self.a_shown.__getitem__, a)], [*map(self.b_shown.__getitem__, b)]
+        upto_a, upto_b = [*accumulate(map(self.a_sizes.__getitem__, a))], [*accumulate(map(self.b_sizes.__getitem__, b))]
+        if len(set(upto_a).intersection(upto_b)) == 1:
+            return f"{','.join(x)}|{','.join(y)}"
+        at = dict(zip(upto_a, range(1, len(a) + 1)))
         out, i, j = [], 0, 0
-        for k, end in enumerate(accumulate(map(self.b_sizes.__getitem__, b)), 1):
+        for k, end in enumerate(upto_b, 1):
             if n := at.get(end):
                 out.append(f"{','.join(x[i:n])}|{','.join(y[j:k])}")
                 i, j = n, k
@@ -171,14 +174,18 @@ def _key(unit):
 
 def _exploded(rows: DataFrame, *also) -> DataFrame:
     pieces = F.split(F.concat(F.lit(" "), F.col("text")), CUT, -1)
-    return rows.where("text <> ''").select(*also, F.posexplode(pieces).alias("pos", "unit")).select(*also, "pos", "unit", _key(F.col("unit")).alias("key"))
+    return rows.where("text <> ''").select(*also, F.explode(pieces).alias("unit"))
+
+
+def packed(side: np.ndarray | int, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Tokens as one long each: side, size in bytes and id, which are shuffled in little room."""
+    return (np.int64(1) * side << np.int64(60)) | (sizes.astype(np.int64) << np.int64(32)) | ids.astype(np.int64)
 
 
 def align_units(units: DataFrame) -> DataFrame:
-    """(key, n, a, b, ends_a, ends_b) a row for every link of the units (key, n, a, a_sizes, b, b_sizes), of ids and sizes in bytes that sum up alike; rows should be dealt by key already; ``ends_a`` and ``ends_b`` say which of the two tokens end with the link, and both together a cut."""
-    one = lambda ids, sizes, side: F.transform(ids, lambda t, i: F.struct(F.lit(side).alias("side"), t.alias("id"), F.get(sizes, i).alias("size")))
-    sides = F.concat(one("a", F.col("a_sizes"), 0), one("b", F.col("b_sizes"), 1))
-    tokens = units.select("key", "n", F.posexplode(sides).alias("pos", "t")).select("key", "n", "pos", "t.*")
+    """(key, n, a, b, ends_a, ends_b) a row for every link of the units (key, n, tokens): the tokens of side 0, then of side 1, ``packed``, whose sizes sum up alike; rows should be dealt by key already; ``ends_a`` and ``ends_b`` say which of the two tokens end with the link, and both together a cut."""
+    part = lambda low, bits: F.shiftright("t", low).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+    tokens = units.select("key", "n", F.posexplode("tokens").alias("pos", "t")).select("key", "n", "pos", part(60, 1).alias("side"), part(32, 28).alias("size"), part(0, 31).alias("id"))
     upto = Window.partitionBy("key", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = tokens.withColumn("end", F.sum("size").over(upto))
     id_of = lambda side: F.max(F.when(F.col("side") == side, F.col("id")))
@@ -213,28 +220,28 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*files.value)
+        sizes_a, sizes_b = np.array(pair.a_sizes), np.array(pair.b_sizes)
         for batch in batches:
             for at in range(0, len(batch), 2000):
                 part = batch.slice(at, 2000)
-                found, lists = list(pair.encode(part.column(2).to_pylist())), []
-                for side, sizes in ((0, pair.a_sizes), (1, pair.b_sizes)):
-                    ids = [f[side] if f else [NONE] for f in found]
-                    flat = np.fromiter((i for x in ids for i in x), np.int32)
-                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32))
-                    own = np.where(flat == NONE, 1, np.array(sizes, np.int32)[flat]).astype(np.int32)
-                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (flat, own)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["key", "n", "a", "a_sizes", "b", "b_sizes"])
-
-    seen = stored(_exploded(rows).groupBy("key", "unit").agg(F.count("*").alias("n")).select("key", "n", "unit"), "units")
-    ints = "array<int>"
-    units = seen.mapInArrow(tokens, f"key string, n long, a {ints}, a_sizes {ints}, b {ints}, b_sizes {ints}").repartition("key")
+                sides = [f or ([NONE], [NONE]) for f in pair.encode(part.column(2).to_pylist())]
+                counts = np.array([(len(a), len(b)) for a, b in sides])
+                flat = np.fromiter((i for both in sides for ids in both for i in ids), np.int64)
+                side = np.repeat(np.tile([0, 1], len(sides)), counts.ravel())
+                sizes = np.where(flat == NONE, 1, np.where(side == 0, sizes_a[np.minimum(flat, len(sizes_a) - 1)], sizes_b[np.minimum(flat, len(sizes_b) - 1)]))
+                offsets = np.concatenate([[0], np.cumsum(counts.sum(axis=1))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed(side, flat, sizes)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "n", "tokens"])
+
+    seen = stored(_exploded(rows).groupBy("unit").agg(F.count("*").alias("n")).select(_key(F.col("unit")).alias("key"), "n", "unit"), "units")
+    units = seen.mapInArrow(tokens, "key string, n long, tokens array<long>").repartition("key")
     links = stored(align_units(units), "links")
 
     bad = links.where(F.col("a") == NONE).select("key")
     if not bad.isEmpty():  # texts with such a unit leave the counts
-        spoilt = _exploded(rows, "doc_id", "h").join(bad, "key", "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
+        spoilt = _exploded(rows, "doc_id", "h").withColumn("key", _key(F.col("unit"))).join(bad, "key", "left_semi").select(F.col("doc_id").alias("d"), F.col("h").alias("g")).distinct()
         without = rows.join(stored(spoilt, "spoilt"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left_semi")
-        less = _exploded(without).groupBy("key").agg(F.count("*").alias("less"))
+        less = _exploded(without).groupBy(_key(F.col("unit")).alias("key")).agg(F.count("*").alias("less"))
         links = links.where(F.col("a") != NONE).join(less, "key", "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0))).drop("less")
         links = stored(links, "links-counted")
 
@@ -264,9 +271,9 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
                 for u, f in zip(new, pair.encode(new), strict=True):
                     key = u if len(u.encode()) <= KEY_BYTES else hashlib.sha256(u.encode()).hexdigest()
                     memo.young[u] = (pair.shown(*f), place.get(key, -1), key) if f else None
-                digests, own, rest = [], [], []
+                digests, own, rest, young = [], [], [], memo.young
                 for x in cut:
-                    found = [memo.young[u] for u in x]
+                    found = [*map(young.__getitem__, x)]
                     if not found or None in found:
                         found = []
                     digests.append(hashlib.sha256(";".join([f[0] for f in found]).encode()).hexdigest() if found else "")

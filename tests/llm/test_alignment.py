@@ -6,13 +6,14 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from millrace.llm.alignment import align_units, alignments, units_of
+from millrace.llm.alignment import align_units, alignments, packed, units_of
 
 FILES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -124,9 +125,8 @@ def test_units_join_to_the_text(spark):
 def test_no_pair_of_tokens_is_made_that_is_no_link(spark):
     """A unit whose sides meet only at its end gives as many rows as both have tokens, less one."""
     many = 2000
-    rows = [("u", 1, [1] * many, [2] * many, [2] * (many + 1), [1, *[2] * (many - 1), 1])]
-    ints = "array<int>"
-    got = align_units(spark.createDataFrame(rows, f"key string, n long, a {ints}, a_sizes {ints}, b {ints}, b_sizes {ints}")).collect()
+    sides = [packed(0, np.full(many, 1), np.full(many, 2)), packed(1, np.full(many + 1, 2), np.array([1, *[2] * (many - 1), 1]))]
+    got = align_units(spark.createDataFrame([("u", 1, np.concatenate(sides).tolist())], "key string, n long, tokens array<long>")).collect()
     assert len(got) == 2 * many and sum(r.ends_a and r.ends_b for r in got) == 1 and all((r.a, r.b) == (1, 2) for r in got)
 
 
