@@ -20,8 +20,8 @@ alignment is made once for each distinct unit, as relations.
   all pairs of a group.
 
 Corpus-wide counts of id pairs weigh links by how often their unit occurs.
-Texts get the sums over their units: those of units that a 65,536th of all
-occurrences falls on from a broadcast table (there can't be more than 65,536,
+Texts get the sums over their units: those of units that a 131,072nd of all
+occurrences falls on from a broadcast table (there can't be more than 131,072,
 and their keys are short), all others by a join on the unit, of the texts' own
 counts. The digest of a text's groups needs their ids in order, which are
 several times as long as the text; it is made where the text is, by a worker
@@ -59,11 +59,11 @@ PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s
 #: Units of more bytes go by their digest.
 KEY_BYTES = 32
 #: A unit is frequent if more than one in so many occurrences is of it.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 17
 #: Bytes up to which a table of id pairs is broadcast.
 BROADCAST = 64 << 20
 #: Units that a worker remembers, in each of two generations.
-MEMO = 500_000
+MEMO = 400_000
 
 
 def units_of(text: str) -> list[str]:
@@ -233,9 +233,9 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed(side, flat, sizes)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "n", "tokens"])
 
-    seen = stored(_exploded(rows).groupBy("unit").agg(F.count("*").alias("n")).select(_key(F.col("unit")).alias("key"), "n", "unit"), "units")
-    units = seen.mapInArrow(tokens, "key string, n long, tokens array<long>").repartition("key")
-    links = stored(align_units(units), "links")
+    seen = stored(_exploded(rows).groupBy("unit").agg(F.count("*").alias("n")), "units")
+    units = seen.select(_key(F.col("unit")).alias("key"), "n", "unit").mapInArrow(tokens, "key string, n long, tokens array<long>").repartition("key")
+    links = stored(align_units(units).drop("group_from_end"), "links")
 
     bad = links.where(F.col("a") == NONE).select("key")
     if not bad.isEmpty():  # texts with such a unit leave the counts
