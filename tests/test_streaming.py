@@ -145,6 +145,32 @@ def test_funnel_drops_what_is_late_and_takes_ties_by_id(spark, typed):
     assert {r.start_id: r.ids for r in spark.read.parquet(str(tmp / "out")).collect()} == {5: [5, 6, 7], 8: [8], 9: [9]}
 
 
+def test_funnel_keeps_steps_for_starts_that_come_after_them(spark, typed):
+    """A start that is older than one already waiting, but not late, still gets the steps that came before it."""
+    put, tmp = typed
+    put(0, [(1, 9, 100, "error")])
+    put(1, [(3, 1, 95, "click"), (2, 1, 98, "view")])
+    put(2, [(4, 1, 92, "view"), (5, 1, 97, "purchase")])
+    stream = put(3, [(6, 9, 1000, "error")])
+    streaming.run_once(funnel(stream, "user_id", ("view", "click", "purchase"), 3600), str(tmp / "out"), str(tmp / "cp"))
+    assert {r.start_id: r.ids for r in spark.read.parquet(str(tmp / "out")).collect()} == {4: [4, 3, 5], 2: [2]}
+
+
+def test_funnel_calls_python_for_buckets_of_keys(spark, typed):
+    """However many keys there are, states (and so calls) are no more than buckets in a slice; keys stay apart, of any type."""
+    put, tmp = typed
+    n = 2000
+    put(0, [e for u in range(n) for e in ((3 * u, u, 1, "view"), (3 * u + 1, u, 2, "click"))])
+    stream = put(1, [(3 * u + 2, u, 3, "purchase") for u in range(0, n, 2)]).withColumn("user_id", F.concat(F.lit("u"), "user_id"))
+    run = lambda: streaming.run_once(funnel(stream, "user_id", ("view", "click", "purchase"), 86400), str(tmp / "out"), str(tmp / "cp"))
+    run()
+    assert 0 < spark.read.format("statestore").load(str(tmp / "cp")).count() <= 2 * 256  # a step belongs to two slices
+    put(2, [(9999, 0, 5000, "error")])
+    run()
+    got = {r.user_id: r.ids for r in spark.read.parquet(str(tmp / "out")).collect()}
+    assert got == {f"u{u}": [3 * u, 3 * u + 1, *([3 * u + 2] if u % 2 == 0 else [])] for u in range(n)}
+
+
 def test_outer_join_releases_nulls_once_the_watermark_has_passed(spark, typed):
     put, tmp = typed
 
