@@ -36,7 +36,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import chain, compress
 from pathlib import Path
 
 import numpy as np
@@ -52,6 +52,9 @@ BLANKS = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\
 CUT = f"(?=\\x20[^{BLANKS}])(?<=[^{BLANKS}])"  # few places have the blank, which is looked for first
 _CUT = re.compile(CUT)
 _ODD = re.compile(f"[{BLANKS}][{BLANKS}]|\\A[{BLANKS}]|[{BLANKS}]\\Z")
+#: Units that stay apart when they are strung together: where the next one begins is a cut.
+_STRUNG = re.compile(f"\\x20[^{BLANKS}](?:.*[^{BLANKS}])?", re.DOTALL)
+_GAP = re.compile(f"[{BLANKS}][{BLANKS}]|[{BLANKS}]\\Z")
 #: Stands for the tokens of a unit that a tokenizer doesn't give back.
 NONE = (1 << 31) - 1
 #: How byte-level pre-tokenizers cut a text (a fixed value).
@@ -64,17 +67,41 @@ FREQUENT = 1 << 17
 BROADCAST = 64 << 20
 #: Units that a worker remembers, in each of two generations.
 MEMO = 400_000
+#: Units that are encoded together.
+PART = 2000
+
+
+def words_of(text: str) -> list[str]:
+    """The units of a blank and the text, each without the blank that it begins with."""
+    if _ODD.search(text):
+        return [u[1:] for u in _CUT.split(" " + text)]
+    return text.split(" ")
 
 
 def units_of(text: str) -> list[str]:
     """The units of a blank and the text."""
-    if _ODD.search(text):
-        return _CUT.split(" " + text)
-    return [" " + w for w in text.split(" ")]
+    return [" " + w for w in words_of(text)]
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all units in a row, and how many are of each."""
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+class Written:
+    """Fixed strings of bytes, put together by their numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self._from, self._all = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        n = self.sizes[numbers]
+        return self._all[np.repeat(self._from[numbers] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
 
 
 class Pair:
-    """Both tokenizers: ids and byte lengths of units, None where the tokens' bytes aren't the unit's."""
+    """Both tokenizers, for many units at once."""
 
     def __init__(self, bytes_json: str, pieces_model: bytes):
         import sentencepiece
@@ -91,29 +118,40 @@ class Pair:
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("the second tokenizer has pieces that go over a blank")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.a_sizes, self.b_sizes = ([len(x) for x in t] for t in (self.a_bytes, self.b_bytes))
-        self.a_shown, self.b_shown = ([str(i) for i in range(len(t))] for t in (self.a_bytes, self.b_bytes))
-
-    def encode(self, units: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        a_bytes, b_bytes = self.a_bytes.__getitem__, self.b_bytes.__getitem__
-        pieces = self.b.encode([u[1:] for u in units], num_threads=1)
-        for unit, a, b in zip(units, self.a(units), pieces, strict=True):
-            whole = unit.encode()
-            yield (a, b) if b"".join(map(a_bytes, a)) == whole == b"".join(map(b_bytes, b)) else None
-
-    def shown(self, a: list[int], b: list[int]) -> str:
-        """The groups of a unit, as ``a1,a2|b1;a3|b2,b3``."""
-        x, y = [*map(self.a_shown.__getitem__, a)], [*map(self.b_shown.__getitem__, b)]
-        upto_a, upto_b = [*accumulate(map(self.a_sizes.__getitem__, a))], [*accumulate(map(self.b_sizes.__getitem__, b))]
-        if len(set(upto_a).intersection(upto_b)) == 1:
-            return f"{','.join(x)}|{','.join(y)}"
-        at = dict(zip(upto_a, range(1, len(a) + 1)))
-        out, i, j = [], 0, 0
-        for k, end in enumerate(upto_b, 1):
-            if n := at.get(end):
-                out.append(f"{','.join(x[i:n])}|{','.join(y[j:k])}")
-                i, j = n, k
-        return ";".join(out)
+        self.a_names, self.b_names = Written(self.a_bytes), Written(self.b_bytes)
+        self.a_sizes, self.b_sizes = self.a_names.sizes, self.b_names.sizes
+        sides = (self.a_bytes, ",|"), (self.b_bytes, ",;\n")
+        self.shown_as = Written([f"{i}{mark}".encode() for t, marks in sides for mark in marks for i in range(len(t))])
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all units in a row and how many are of each, on either side; and which units both give back byte by byte."""
+        raw = [u.encode() for u in units]
+        wanted = np.fromiter(map(len, raw), np.int64, len(raw))
+        sides = self.a(units, wanted), _flat(self.b.encode([u[1:] for u in units], num_threads=1))
+        good = np.ones(len(units), bool)
+        for (ids, counts), names in zip(sides, (self.a_names, self.b_names), strict=True):
+            upto = np.concatenate([[0], np.cumsum(names.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+            good &= np.diff(upto) == wanted
+        for (ids, counts), names in zip(sides, (self.a_names, self.b_names), strict=True):
+            if names.joined(ids[np.repeat(good, counts)]) != b"".join(compress(raw, good.tolist())):
+                good &= [names.joined(ids[e - n : e]) == r for e, n, r in zip(np.cumsum(counts), counts, raw, strict=True)]
+        return *sides[0], *sides[1], good
+
+    def shown(self, units: list[str]) -> list[str | None]:
+        """The groups of each unit, as ``a1,a2|b1;a3|b2,b3``; None if it isn't given back."""
+        a, n_a, b, n_b, good = self.encode(units)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        upto_a, upto_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        cuts = np.intersect1d(upto_a, upto_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, upto_a), np.searchsorted(cuts, upto_b)
+        last = np.zeros(len(b), int)
+        last[np.cumsum(n_b[good]) - 1] = 1
+        out = np.empty(len(a) + len(b), np.int64)
+        # a group's tokens of the first side stand before those of the second
+        out[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a + len(self.a_bytes) * (upto_a == cuts[group_a])
+        out[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b + 2 * len(self.a_bytes) + len(self.b_bytes) * ((upto_b == cuts[group_b]) + last)
+        found = iter(self.shown_as.joined(out).decode().split("\n"))
+        return [next(found) if g else None for g in good.tolist()]
 
 
 def _byte_level(spec: dict) -> dict[str, int]:
@@ -124,8 +162,8 @@ def _byte_level(spec: dict) -> dict[str, int]:
     return model["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
 
 
-def _byte_encoder(bytes_json: str, names: list[bytes]) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of units, special strings as plain text. A file whose ids are in the order of its merges is one of ranks too, which another library encodes several times as fast."""
+def _byte_encoder(bytes_json: str, names: list[bytes]) -> Callable[[list[str], np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Ids of units, which begin with a blank and whose sizes in bytes are known, special strings as plain text. A file whose ids are in the order of its merges is one of ranks too, which another library encodes several times as fast, and units that stay apart as one text."""
     import tiktoken
     from tokenizers import Tokenizer
 
@@ -134,10 +172,30 @@ def _byte_encoder(bytes_json: str, names: list[bytes]) -> Callable[[list[str]],
     pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
     if len(vocabulary) == 256 + len(pairs) and all(vocabulary.get(x + y) == 256 + i for i, (x, y) in enumerate(pairs)):
         ranked = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks={names[i]: i for i in vocabulary.values()}, special_tokens={})
-        return lambda units: [ranked.encode_ordinary(u) for u in units]
+        sizes = np.array([len(x) for x in names])
+
+        def strung(units: list[str], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            whole, apart, some = "".join(units), np.ones(len(units), bool), units
+            if _GAP.search(whole):
+                apart = np.array([_STRUNG.fullmatch(u) is not None for u in units], bool)
+                some = [*compress(units, apart.tolist())]
+                whole = "".join(some)
+            ids = np.array(ranked.encode_ordinary(whole), np.int64)
+            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(wanted[apart])) + 1
+            if len(some) == len(units):
+                return ids, np.diff(ends, prepend=0)
+            others, n = _flat([ranked.encode_ordinary(u) for u in compress(units, (~apart).tolist())])
+            counts = np.empty(len(units), np.int64)
+            counts[apart], counts[~apart] = np.diff(ends, prepend=0), n
+            of = np.repeat(apart, counts)
+            flat = np.empty(len(of), np.int64)
+            flat[of], flat[~of] = ids, others
+            return flat, counts
+
+        return strung
     library = Tokenizer.from_str(bytes_json)
     library.encode_special_tokens = True
-    return lambda units: [e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)]
+    return lambda units, _: _flat([e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)])
 
 
 def _byte_letters() -> list[str]:
@@ -220,15 +278,17 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(*files.value)
-        sizes_a, sizes_b = np.array(pair.a_sizes), np.array(pair.b_sizes)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                sides = [f or ([NONE], [NONE]) for f in pair.encode(part.column(2).to_pylist())]
-                counts = np.array([(len(a), len(b)) for a, b in sides])
-                flat = np.fromiter((i for both in sides for ids in both for i in ids), np.int64)
-                side = np.repeat(np.tile([0, 1], len(sides)), counts.ravel())
-                sizes = np.where(flat == NONE, 1, np.where(side == 0, sizes_a[np.minimum(flat, len(sizes_a) - 1)], sizes_b[np.minimum(flat, len(sizes_b) - 1)]))
+            for at in range(0, len(batch), PART):
+                part = batch.slice(at, PART)
+                a, n_a, b, n_b, good = pair.encode(part.column(2).to_pylist())
+                counts = np.where(good[:, None], np.stack([n_a, n_b], axis=1), 1)
+                side = np.repeat(np.tile([0, 1], len(good)), counts.ravel())
+                fine = np.repeat(good, counts.sum(axis=1))
+                flat, sizes = np.full(len(side), NONE, np.int64), np.ones(len(side), np.int64)
+                for own, ids, n, size in ((0, a, n_a, pair.a_sizes), (1, b, n_b, pair.b_sizes)):
+                    known = ids[np.repeat(good, n)]
+                    flat[fine & (side == own)], sizes[fine & (side == own)] = known, size[known]
                 offsets = np.concatenate([[0], np.cumsum(counts.sum(axis=1))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(packed(side, flat, sizes)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["key", "n", "tokens"])
@@ -265,12 +325,14 @@ def alignments(docs: DataFrame, bytes_json: str, pieces_model: str, id_col: str
         for batch in batches:
             ids, texts, hashes = (batch.column(i) for i in range(3))
             for at in range(0, len(batch), 200):
-                cut = [units_of(t) if t else [] for t in texts.slice(at, 200).to_pylist()]
+                cut = [words_of(t) if t else [] for t in texts.slice(at, 200).to_pylist()]
                 memo.turn()
-                new = memo.missing(u for x in cut for u in x)
-                for u, f in zip(new, pair.encode(new), strict=True):
-                    key = u if len(u.encode()) <= KEY_BYTES else hashlib.sha256(u.encode()).hexdigest()
-                    memo.young[u] = (pair.shown(*f), place.get(key, -1), key) if f else None
+                new = memo.missing(chain.from_iterable(cut))
+                for i in range(0, len(new), PART):
+                    some = [" " + w for w in new[i : i + PART]]
+                    for w, u, f in zip(new[i : i + PART], some, pair.shown(some), strict=True):
+                        key = u if len(u.encode()) <= KEY_BYTES else hashlib.sha256(u.encode()).hexdigest()
+                        memo.young[w] = (f, place.get(key, -1), key) if f else None
                 digests, own, rest, young = [], [], [], memo.young
                 for x in cut:
                     found = [*map(young.__getitem__, x)]

@@ -122,6 +122,25 @@ def test_units_join_to_the_text(spark):
             assert "".join(cut) == " " + text and all(cut)
 
 
+def test_units_are_encoded_together_as_they_are_alone():
+    """One call of the first library for all units, whose ids, groups and refusals are those of each unit alone."""
+    from millrace.llm.alignment import Pair
+
+    pair = Pair(open(FILES[0]).read(), open(FILES[1], "rb").read())
+    units = list(dict.fromkeys(u for t in texts() if t for u in units_of(t)))
+    plain = [u for u in units if u.strip() == u[1:] and u[1:].isalnum()]
+    for some in (units, plain, units[:1], []):
+        alone = [pair.shown([u])[0] for u in some]
+        assert pair.shown(some) == alone and (some is not units or None in alone)
+    for u, shown in zip(plain, alone := pair.shown(plain), strict=True):
+        ids = [[int(i) for g in shown.split(";") for i in g.split("|")[side].split(",")] for side in (0, 1)]
+        assert [b"".join(names[i] for i in x) for x, names in zip(ids, (pair.a_bytes, pair.b_bytes), strict=True)] == [u.encode()] * 2
+    calls = []
+    split = pair.b.encode
+    pair.b = type("Counted", (), {"encode": lambda self, some, **k: calls.append(len(some)) or split(some, **k)})()
+    assert pair.shown(plain) == alone and calls == [len(plain)]
+
+
 def test_no_pair_of_tokens_is_made_that_is_no_link(spark):
     """A unit whose sides meet only at its end gives as many rows as both have tokens, less one."""
     many = 2000
